@@ -10,6 +10,7 @@ of the tape that fall on it.
 from __future__ import annotations
 
 import heapq
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -119,63 +120,99 @@ def route(capacity: Sequence[int], members: Sequence[Sequence[int]], quotas: Seq
         left[end[1]] -= amount
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sources: str = "source", seed: int = 17, weights: Sequence[int] = CYCLE, max_repeats: int = MAX_REPEATS, keep: Sequence[str] = ()) -> DataFrame:
+class Plan:
+    """The flow for a table and its documents' places in the seeded order. Attributes: rows (one for each document:
+    _id, _size, _key, _place), spec (a tuple for each pattern and source), flows and capacity by pattern."""
+
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, sources: str, seed: int, weights: Sequence[int], max_repeats: int):
+        size = word_count(F.col(f"`{text_col}`"))
+        rows = docs.select(F.col(f"`{id_col}`").alias("_id"), size.alias("_size"), pattern_of(docs, sources).alias("_key"))
+        self.rows = checkpointed(rows.withColumn("_place", place_of(seed, F.col("_id"), F.col("_size"))))
+        counted = self.rows.groupBy("_key").agg(F.sum("_size").alias("n")).limit(MAX_PATTERNS + 1).collect()
+        if len(counted) > MAX_PATTERNS:
+            raise ValueError(f"more than {MAX_PATTERNS} membership patterns: not a catalogue of sources")
+        patterns = sorted((r["_key"], json.loads(r["_key"]), int(r["n"])) for r in counted)
+        names = sorted({s for _, p, _ in patterns for s in p}, key=lambda s: (s is None, s or ""))
+        at = {s: i for i, s in enumerate(names)}
+        members = [[at[s] for s in p] for _, p, _ in patterns]
+        self.capacity = {k: n for k, _, n in patterns}
+        sizes = [0] * len(names)
+        for m, (_, _, n) in zip(members, patterns):
+            for s in m:
+                sizes[s] += n
+        asked = [weights[i % len(weights)] for i in range(len(names))]
+        shares = targets(sum(self.capacity.values()), sizes, asked, max_repeats)
+        sent = route(list(self.capacity.values()), members, whole(shares), max_repeats)
+        self.spec, self.flows = [], {}
+        for (k, _, n), m, f in zip(patterns, members, sent):
+            start = 0
+            for s in m:
+                self.spec.append((k, names[s], sizes[s], shares[s][0] / shares[s][1], n, start, start + f.get(s, 0)))
+                start += f.get(s, 0)
+            self.flows[k] = start
+
+    def placed(self) -> DataFrame:
+        """rows with _a, the words before the document in the seeded order of its pattern: sums over buckets, then
+        inside each bucket."""
+        rows = self.rows.withColumn("_bucket", F.pmod(F.shiftright("_place", 20), F.lit(BUCKETS)))
+        before = Window.partitionBy("_key").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+        heads = rows.groupBy("_key", "_bucket").agg(F.sum("_size").alias("_words")).select("_key", "_bucket", F.coalesce(F.sum("_words").over(before), F.lit(0)).alias("_head"))
+        inside = Window.partitionBy("_key", "_bucket").orderBy("_place", "_id", "_size").rowsBetween(Window.unboundedPreceding, -1)
+        return rows.withColumn("_in", F.coalesce(F.sum("_size").over(inside), F.lit(0))).join(heads, ["_key", "_bucket"]).withColumn("_a", F.col("_head") + F.col("_in"))
+
+
+def pattern_of(docs: DataFrame, sources: str):
+    """The membership pattern as JSON: a sorted list of sources; none at all is the one source null."""
+    column = F.col(f"`{sources}`")
+    if isinstance(docs.schema[sources].dataType, T.ArrayType):
+        column = F.when(F.coalesce(F.size(column), F.lit(0)) > 0, F.array_sort(F.array_distinct(column))).otherwise(F.array(F.lit(None).cast("string")))
+    else:
+        column = F.array(column.cast("string"))
+    return F.to_json(column, {"ignoreNullFields": "false"})
+
+
+def place_of(seed: int, doc_id, size):
+    return F.xxhash64(F.lit(seed), doc_id, size)
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sources: str = "source", seed: int = 17, weights: Sequence[int] = CYCLE, max_repeats: int = MAX_REPEATS) -> DataFrame:
     """What the mix takes of each document and source.
 
     sources: a string column (one source a document; null is a source, ordered last) or an array of strings (the
     document may serve any of them; an empty or null array is the one source null). Returns a row per document and
     source it may serve: id_col, size (words; 0 for null text), source, source_size, target, taken, doc_taken.
     Null ids are kept; rows with equal ids are documents of their own. An empty table gives no rows. Columns of docs
-    other than those named, whatever their names, are not read; keep: further columns to carry along.
+    other than those named, whatever their names, are not read.
     """
-    many = isinstance(docs.schema[sources].dataType, T.ArrayType)
-    null = F.array(F.lit(None).cast("string"))
-    pattern = F.when(F.coalesce(F.size(F.col(f"`{sources}`")), F.lit(0)) > 0, F.array_sort(F.array_distinct(F.col(f"`{sources}`")))).otherwise(null) if many else F.array(F.col(f"`{sources}`").cast("string"))
-    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), word_count(F.col(f"`{text_col}`")).alias("_size"), pattern.alias("_pattern"), *(F.col(f"`{c}`").alias(f"_keep_{c}") for c in keep))
-    rows = checkpointed(rows.withColumn("_place", F.xxhash64(F.lit(seed), "_id", "_size")))
-    # a null in an array is no join key, so patterns are told apart by a string that shows nulls
-    key = F.to_json(F.struct("_pattern"), {"ignoreNullFields": "false"})
-    rows = rows.withColumn("_key", key)
-    counted = rows.groupBy("_key").agg(F.first("_pattern").alias("p"), F.sum("_size").alias("n")).limit(MAX_PATTERNS + 1).collect()
-    if len(counted) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} membership patterns: not a catalogue of sources")
-    patterns = sorted(((r["_key"], list(r["p"]), int(r["n"])) for r in counted), key=lambda x: x[0])
-    names = sorted({s for _, p, _ in patterns for s in p}, key=lambda s: (s is None, s or ""))
-    at = {s: i for i, s in enumerate(names)}
-    members = [[at[s] for s in p] for _, p, _ in patterns]
-    capacity = [n for _, _, n in patterns]
-    sizes = [0] * len(names)
-    for m, n in zip(members, capacity):
-        for s in m:
-            sizes[s] += n
-    asked = [weights[i % len(weights)] for i in range(len(names))]
-    shares = targets(sum(capacity), sizes, asked, max_repeats)
-    sent = route(capacity, members, whole(shares), max_repeats)
-    spec = []
-    for (k, _, n), m, f in zip(patterns, members, sent):
-        start = 0
-        for s in m:
-            spec.append((k, names[s], sizes[s], shares[s][0] / shares[s][1], n, start, start + f.get(s, 0)))
-            start += f.get(s, 0)
+    plan = Plan(docs, id_col, text_col, sources, seed, weights, max_repeats)
     spark = docs.sparkSession
-    tape = spark.createDataFrame(spec, "_key string, source string, source_size long, target double, _cap long, _from long, _to long")
-    # offsets in the seeded order: sums over buckets, then inside each bucket
-    rows = rows.withColumn("_bucket", F.pmod(F.shiftright("_place", 20), F.lit(BUCKETS)))
-    before = Window.partitionBy("_key").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    heads = rows.groupBy("_key", "_bucket").agg(F.sum("_size").alias("_words")).select("_key", "_bucket", F.coalesce(F.sum("_words").over(before), F.lit(0)).alias("_head"))
-    inside = Window.partitionBy("_key", "_bucket").orderBy("_place", "_id", "_size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("_in", F.coalesce(F.sum("_size").over(inside), F.lit(0))).join(heads, ["_key", "_bucket"]).withColumn("_a", F.col("_head") + F.col("_in"))
+    tape = spark.createDataFrame(plan.spec, "_key string, source string, source_size long, target double, _cap long, _from long, _to long")
+    flow = spark.createDataFrame(list(plan.flows.items()), "_key string, _flow long")
 
     def until(x):
         """Words of the tape up to x that fall on the document, which is at _a of _cap."""
-        return F.when(F.col("_cap") > 0, F.floor(x / F.greatest("_cap", F.lit(1))) * F.col("_size") + F.greatest(F.lit(0), F.least(F.col("_size"), F.pmod(x, F.greatest("_cap", F.lit(1))) - F.col("_a")))).otherwise(0).cast("long")
+        cap = F.greatest("_cap", F.lit(1))
+        part = F.greatest(F.lit(0), F.least(F.col("_size"), F.pmod(x, cap) - F.col("_a")))
+        return F.when(F.col("_cap") > 0, F.floor(x / cap) * F.col("_size") + part).otherwise(0).cast("long")
+
+    out = plan.placed().join(tape.join(flow, "_key"), "_key").withColumn("taken", until(F.col("_to")) - until(F.col("_from"))).withColumn("doc_taken", until(F.col("_flow")))
+    return out.select(F.col("_id").alias(id_col), F.col("_size").alias("size"), "source", "source_size", "target", "taken", "doc_taken")
 
-    out = placed.join(F.broadcast(tape) if len(spec) <= 10_000 else tape, "_key").withColumn("taken", until(F.col("_to")) - until(F.col("_from")))
-    flows = {k: sum(f.values()) for (k, _, _), f in zip(patterns, sent)}
-    if many:
-        totals = spark.createDataFrame(list(flows.items()), "_key string, _flow long")
-        out = out.join(totals, "_key").withColumn("doc_taken", until(F.col("_flow")))
-    else:
-        out = out.withColumn("doc_taken", F.col("taken"))
-    return out.select(F.col("_id").alias(id_col), F.col("_size").alias("size"), "source", "source_size", "target", "taken", "doc_taken", *(F.col(f"_keep_{c}").alias(c) for c in keep))
 
+def blend(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sources: str = "source", seed: int = 17, weights: Sequence[int] = CYCLE, max_repeats: int = MAX_REPEATS) -> DataFrame:
+    """docs as the mix takes them, in whole documents: each repeated as often as the tape passes its middle.
+
+    A pattern's full passes take every document, the last pass those up to a place in the seeded order. So only the
+    passes and that place, one row a pattern, are joined to the documents, which aren't shuffled. Columns are those of
+    docs.
+    """
+    plan = Plan(docs, id_col, text_col, sources, seed, weights, max_repeats)
+    spec = [(k, f // plan.capacity[k] if plan.capacity[k] else 0, f % plan.capacity[k] if plan.capacity[k] else 0) for k, f in plan.flows.items()]
+    passes = docs.sparkSession.createDataFrame(spec, "_key string, _full long, _rest long")
+    last = plan.placed().join(passes, "_key").where("_a + _size / 2.0 <= _rest and _rest > 0").groupBy("_key").agg(F.max(F.struct(F.pmod(F.shiftright("_place", 20), F.lit(BUCKETS)).alias("b"), "_place")).alias("_last"))
+    until = checkpointed(passes.join(last, "_key", "left").select("_key", "_full", "_last"))
+    own = docs.select("*", pattern_of(docs, sources).alias("_key"), place_of(seed, F.col(f"`{id_col}`"), word_count(F.col(f"`{text_col}`"))).alias("_place"))
+    own = own.withColumn("_at", F.struct(F.pmod(F.shiftright("_place", 20), F.lit(BUCKETS)).alias("b"), "_place"))
+    own = own.join(F.broadcast(until) if len(spec) <= 10_000 else until, "_key")
+    times = F.col("_full") + F.coalesce(F.col("_at") <= F.col("_last"), F.lit(False)).cast("long")
+    return own.withColumn("_times", times).where("_times > 0").withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*(F.col(f"`{c}`") for c in docs.columns))

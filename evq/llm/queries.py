@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, language_id, mixing, packing, quality, secret_scan, simhash, url_filter
+from . import html_extract, language_id, mixing, ngram_join, packing, quality, secret_scan, simhash, url_filter
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -49,6 +49,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_all(table(spark, sf_dir, "pages"))
 
@@ -65,5 +69,5 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, page_outcomes(pages, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_packing, op3_secrets, op4_language, op5_quality, op6_simhash, op8_html, op10_urls)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_packing, op3_secrets, op4_language, op5_quality, op6_simhash, op7_jaccard, op8_html, op10_urls)}
 ORACLES: dict[str, str] = {}
