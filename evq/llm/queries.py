@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, language_id, mixing, ngram_join, packing, quality, secret_scan, simhash, url_filter
+from . import html_extract, language_id, mixing, ngram_join, packing, quality, secret_scan, simhash, substring_dedup, url_filter
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -57,6 +57,10 @@ def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_all(table(spark, sf_dir, "pages"))
 
 
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def page_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
     """host, bad of each page whose document is labelled; the document's number is in the path of the url."""
     number = F.regexp_extract(url_filter.path_of(F.col("url")), r"/([0-9]{1,18})(?:[/.]|$)", 1).try_cast("long")
@@ -69,5 +73,5 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, page_outcomes(pages, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_packing, op3_secrets, op4_language, op5_quality, op6_simhash, op7_jaccard, op8_html, op10_urls)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_packing, op3_secrets, op4_language, op5_quality, op6_simhash, op7_jaccard, op8_html, op9_substrings, op10_urls)}
 ORACLES: dict[str, str] = {}
