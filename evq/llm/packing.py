@@ -10,83 +10,147 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import words
-
 WINDOW, END_ID = 2048, 1
-#: A shard is closed at so many ids or documents.
-SHARD_IDS, SHARD_DOCS = 3_000_000, 8_000
-#: Words whose ids a worker remembers.
-REMEMBERED = 400_000
+#: A shard is closed at so many bytes of text or documents.
+SHARD_BYTES, SHARD_DOCS = 14_000_000, 20_000
 #: A seed asks with its most telling terms, so many of them; BM25 parameters.
 TERMS, K1, B = 16, 1.2, 0.75
 
-_KNOWN: dict[str, tuple] = {}
-
+#: Words joined for one call of the tokenizer; between them a control character that is a token of its own.
+JOINED, BREAK = 200, "\x01"
+#: The byte-level alphabet's letter for the break, for where the tokenizer's own mapping of bytes is left out.
+PLAIN_BREAK = chr(0x101)
+#: ASCII but letters and digits (words are in lower case).
+MARKS = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
 
-def tokenizer(path: str):
-    if path not in _KNOWN:
-        from tokenizers import Tokenizer
 
-        _KNOWN[path] = (Tokenizer.from_file(path), {})
-    return _KNOWN[path]
+def ragged(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The picked stretches of values one after another, and their sizes."""
+    n = sizes[pick]
+    ends = np.cumsum(n)
+    return values[np.repeat(starts[pick] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)], n
 
 
-def encode_all(texts: list[str | None], path: str) -> tuple[list[bytes], list[np.ndarray]]:
-    """Ids of each text, as unsigned little-endian 32-bit, and numbers that stand for its words.
+class Encoder:
+    """Ids of whole shards, each distinct word encoded once.
 
-    The tokenizer never joins what an ASCII space or control separates, so a text's ids are those of its words one
-    after another; each distinct word is encoded once and remembered.
+    The tokenizer lowers case and never joins what ASCII white space separates, so a text's ids are those of its
+    words one after another. Nor does it join a letter or digit to an ASCII mark behind it, so a word's closing marks
+    are encoded apart.
     """
-    tok, known = tokenizer(path)
-    split = [words(t) for t in texts]
-    if len(known) > REMEMBERED:
-        known.clear()
-    new = list({w for ws in split for w in ws if w not in known})
-    for at in range(0, len(new), 10_000):
-        part = new[at : at + 10_000]
-        for w, e in zip(part, tok.encode_batch([w.decode("utf-8", "surrogatepass") for w in part], add_special_tokens=False)):
-            known[w] = (np.array(e.ids, "<u4").tobytes(), zlib.crc32(w))
-    ids, terms = [], []
-    end = np.array([END_ID], "<u4").tobytes()
-    for ws in split:
-        got = [known[w] for w in ws]
-        ids.append(b"".join([g[0] for g in got]) + end)
-        terms.append(np.fromiter((g[1] for g in got), np.int64, len(got)))
-    return ids, terms
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        # on words of a-z its normalizer changes nothing and its pre-tokenizer only cuts at white space
+        self.plain.normalizer, self.plain.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
+        ends = [t.encode(b, add_special_tokens=False).ids for t, b in ((self.tokenizer, BREAK), (self.plain, PLAIN_BREAK))]
+        assert ends[0] == ends[1] and len(ends[0]) == 1, "the tokenizer has no token of its own for the break"
+        self.end = ends[0][0]
+
+    def parts(self, some: list[str], tokenizer, mark: str) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Ids of some words, run together, and the size of each."""
+        if not some:
+            return [], []
+        between = f" {mark} "
+        flat, sizes = [], []
+        for e in tokenizer.encode_batch_fast([between.join(some[i : i + JOINED]) for i in range(0, len(some), JOINED)], add_special_tokens=False):
+            ids = np.array(e.ids, np.uint32)
+            sizes.append(np.diff(np.flatnonzero(ids == self.end), prepend=-1, append=len(ids)) - 1)
+            flat.append(ids[ids != self.end])
+        return flat, sizes
+
+    def words(self, distinct: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for any words."""
+        atoms: dict[str, int] = {"": 0}
+        heads, tails = [], []
+        for w in distinct:
+            x = w.rstrip(MARKS)
+            if x and len(x) < len(w) and (x[-1].isalpha() or x[-1] in "0123456789"):
+                heads.append(atoms.setdefault(x, len(atoms)))
+                tails.append(atoms.setdefault(w[len(x) :], len(atoms)))
+            else:
+                heads.append(atoms.setdefault(w, len(atoms)))
+                tails.append(0)
+        plain, other, odd = [], [], []
+        for w in atoms:
+            if w:
+                (plain if w.isascii() and w.isalpha() else odd if BREAK in w else other).append(w)
+        order = np.array([0, *(atoms[w] for part in (plain, other, odd) for w in part)])
+        flat, sizes = [], [np.zeros(1, np.int64)]
+        for f, n in (self.parts(plain, self.plain, PLAIN_BREAK), self.parts(other, self.tokenizer, BREAK)):
+            flat += f
+            sizes += n
+        for w in odd:
+            ids = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, np.uint32)
+            flat.append(ids)
+            sizes.append(np.array([len(ids)]))
+        values, n = np.concatenate(flat) if flat else np.empty(0, np.uint32), np.concatenate(sizes)
+        starts, size = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+        starts[order], size[order] = np.cumsum(n) - n, n
+        values, n = ragged(values, starts, size, np.array([heads, tails], np.int64).T.reshape(-1))
+        return values, n.reshape(-1, 2).sum(1)
+
+    def shard(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, each with the end id; ids of each; word numbers of all; words of each."""
+        split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        coded = split.flatten().dictionary_encode()
+        codes = coded.indices.to_numpy().astype(np.int64)
+        each = np.diff(split.offsets.to_numpy())
+        distinct = coded.dictionary.to_pylist()
+        values, n = self.words(distinct)
+        values, n = np.append(values, np.uint32(END_ID)), np.append(n, 1)  # one more word stands for the end
+        with_end = np.insert(codes, np.cumsum(each), len(distinct))
+        ids, sizes = ragged(values, np.cumsum(n) - n, n, with_end)
+        ends = np.cumsum(sizes)[np.cumsum(each + 1) - 1]
+        if "" in distinct:  # white space at an end makes an empty word
+            real = codes != distinct.index("")
+            each = np.bincount(np.repeat(np.arange(len(each)), each)[real], minlength=len(each))
+            codes = codes[real]
+        return ids, np.diff(ends, prepend=0), codes, each
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 class Index:
     """BM25 over the documents of a shard: postings of each term with their scores, as one array."""
 
-    def __init__(self, docs: list[np.ndarray]):
-        self.n = len(docs)
-        parts = [np.unique(d, return_counts=True) for d in docs]
-        sizes = np.array([len(d) for d in docs], np.float64)
-        lengths = np.array([len(p[0]) for p in parts])
-        raw = np.concatenate([p[0] for p in parts]) if self.n else np.empty(0, np.int64)
-        tf = np.concatenate([p[1] for p in parts]) if self.n else np.empty(0)
-        owner = np.repeat(np.arange(self.n), lengths)
-        vocabulary, code, df = np.unique(raw, return_inverse=True, return_counts=True)
+    def __init__(self, codes: np.ndarray, sizes: np.ndarray):
+        self.n = len(sizes)
+        key = np.sort(codes << 32 | np.repeat(np.arange(self.n), sizes))  # by term, then document
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        tf, key = np.diff(first, append=len(key)), key[first]
+        owner, term = key & 0xFFFFFFFF, key >> 32
+        starts = np.flatnonzero(np.diff(term, prepend=-1))
+        df = np.diff(starts, append=len(term))
+        rank = np.repeat(np.arange(len(starts)), df)
         idf = np.log1p((self.n - df + 0.5) / (df + 0.5))
         norm = K1 * (1 - B + B * sizes / max(1.0, sizes.mean() if self.n else 1.0))
-        weight = idf[code] * tf * (K1 + 1) / (tf + norm[owner])
-        # a term of one document finds no neighbour
-        shared = df[code] > 1
-        order = np.argsort(code[shared], kind="stable")
-        self.docs, self.weights = owner[shared][order], weight[shared][order].astype(np.float32)
+        weight = idf[rank] * tf * (K1 + 1) / (tf + norm[owner])
+        shared = df[rank] > 1  # a term of one document finds no neighbour
+        self.docs, self.weights, rank = owner[shared], weight[shared].astype(np.float32), rank[shared]
         self.ends = np.cumsum(np.where(df > 1, df, 0))
         self.starts = self.ends - np.where(df > 1, df, 0)
-        own = np.flatnonzero(shared)
-        self.own_code, self.own_weight = code[own], weight[own]
-        self.own_ends = np.searchsorted(owner[own], np.arange(self.n), "right")
+        own = np.sort(self.docs << 32 | np.arange(len(self.docs)))  # the postings by document
+        at = own & 0xFFFFFFFF
+        self.own_code, self.own_weight = rank[at], self.weights[at]
+        self.own_ends = np.searchsorted(own >> 32, np.arange(self.n), "right")
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
         """Unused documents that share one of the seed's most telling terms, best first, ties by position."""
@@ -119,8 +183,8 @@ class Packer:
             if self.filled == self.window:
                 self.sequence, self.filled = self.sequence + 1, 0
 
-    def pack(self, lengths: list[int], terms: list[np.ndarray]) -> Iterator[tuple[int, int, int, int, int]]:
-        index, unused = Index(terms), np.ones(len(lengths), bool)
+    def pack(self, lengths: list[int], index: Index) -> Iterator[tuple[int, int, int, int, int]]:
+        unused = np.ones(len(lengths), bool)
         for seed in range(len(lengths)):
             if not unused[seed]:
                 continue
@@ -159,26 +223,25 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 40
         packer = Packer(window)
-        held: list[tuple] = []  # ids (arrow column), encoded, terms
+        held: list[tuple[pa.Array, pa.Array]] = []
         size = n = 0
 
         def shard() -> Iterator[pa.RecordBatch]:
             keys = pa.concat_arrays([h[0] for h in held])
-            encoded = [e for h in held for e in h[1]]
-            pieces = np.array(list(packer.pack([len(e) // 4 for e in encoded], [t for h in held for t in h[2]])), np.int64).reshape(-1, 5)
-            crc = [zlib.crc32(memoryview(encoded[d])[4 * s : 4 * (s + k)]) for d, s, k in pieces[:, :3].tolist()]
-            total = np.array([len(e) // 4 for e in encoded], np.int64)[pieces[:, 0]]
-            yield pa.RecordBatch.from_arrays([keys.take(pa.array(pieces[:, 0])), *(pa.array(x, pa.int64()) for x in (pieces[:, 1], pieces[:, 2], crc, total, pieces[:, 3] + base, pieces[:, 4]))], names)
+            ids, lengths, codes, each = encoder(path).shard(pa.concat_arrays([h[1] for h in held]))
+            starts, raw = np.cumsum(lengths) - lengths, memoryview(ids.astype("<u4").tobytes())
+            pieces = np.array(list(packer.pack(lengths.tolist(), Index(codes, each))), np.int64).reshape(-1, 5)
+            at = starts[pieces[:, 0]] + pieces[:, 1]
+            crc = [zlib.crc32(raw[a:b]) for a, b in zip((4 * at).tolist(), (4 * (at + pieces[:, 2])).tolist())]
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(pieces[:, 0])), *(pa.array(x, pa.int64()) for x in (pieces[:, 1], pieces[:, 2], crc, lengths[pieces[:, 0]], pieces[:, 3] + base, pieces[:, 4]))], names)
 
         for b in batches:
-            for at in count(0, 500):
-                if at >= b.num_rows:
-                    break
+            for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
-                encoded, terms = encode_all(part.column(1).to_pylist(), path)
-                held.append((part.column(0), encoded, terms))
-                size, n = size + sum(map(len, encoded)) // 4, n + part.num_rows
-                if size >= SHARD_IDS or n >= SHARD_DOCS:
+                texts = part.column(1).fill_null("")
+                held.append((part.column(0), texts))
+                size, n = size + (pc.sum(pc.binary_length(texts)).as_py() or 0), n + part.num_rows
+                if size >= SHARD_BYTES or n >= SHARD_DOCS:
                     yield from shard()
                     held, size, n = [], 0, 0
         if held:
