@@ -19,14 +19,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import checkpointed, words
 from .fm_index import FMIndex
 from .shingles import runs, word_hashes
 
 WINDOW, ANCHOR = 13, 6
-#: Distinct segments (expected) of one shard's index.
-SHARD_SEGMENTS = 20_000
+#: Segments (expected) of one shard's index.
+SHARD_SEGMENTS = 30_000
 #: Stands for a null id: nothing comes after it.
 NO_ID = (1 << 63) - 1
 
@@ -74,47 +75,67 @@ def segments_of(h: np.ndarray, repeated: np.ndarray) -> list[tuple[int, int, int
 
 
 def cut_segments(flagged: DataFrame) -> DataFrame:
-    """doc_id, mark, shard anchor, start, content (word hashes) of each segment of texts with their repeated anchors."""
+    """anchor, content (word hashes), places of the segments of texts with their repeated anchors.
+
+    places are own, mark, check and start of each of the segment's texts as 64-bit numbers: equal segments of a batch
+    are one row, so a passage of very many texts is shipped a few times only.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, b.num_rows, 200):
-                out: list[tuple] = []
-                for doc_id, mark, text, repeated in zip(*(c.to_pylist() for c in b.slice(lo, 200).columns)):
+            for lo in range(0, b.num_rows, 1000):
+                found: dict[tuple[int, bytes], list[int]] = {}
+                for own, mark, check, text, repeated in zip(*(c.to_pylist() for c in b.slice(lo, 1000).columns)):
                     h = word_hashes(text)
                     raw = h.tobytes()
-                    out += [(doc_id, mark, a, s, raw[8 * s : 8 * (s + n + WINDOW - 1)]) for a, s, n in segments_of(h, np.array(repeated, np.int64))]
-                columns = list(zip(*out)) if out else [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.int32()), pa.array(columns[4], pa.binary())], ["doc_id", "mark", "anchor", "start", "content"])
+                    for a, s, n in segments_of(h, np.array(repeated, np.int64)):
+                        found.setdefault((a, raw[8 * s : 8 * (s + n + WINDOW - 1)]), []).extend((own, mark, check, s))
+                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.int64()), pa.array([k[1] for k in found], pa.binary()), pa.array([np.array(v, "<i8").tobytes() for v in found.values()], pa.binary())], ["anchor", "content", "places"])
 
-    return flagged.select("doc_id", "mark", "text", "repeated").mapInArrow(rows, "doc_id long, mark long, anchor long, start int, content binary")
+    return flagged.select("own", "mark", "check", "text", "repeated").mapInArrow(rows, "anchor long, content binary, places binary")
 
 
 def indexed(shard: pa.Table) -> pa.Table:
-    """For each segment of a shard (content, own, the least id of its documents): the least id for each window."""
-    contents, own = shard.column("content").to_pylist(), shard.column("own").to_numpy()
-    seqs = [np.frombuffer(c, np.uint64) for c in contents]
+    """mark, check, own, starts: the starts of a shard's repeated windows, by text."""
+    places = [np.frombuffer(p, "<i8").reshape(-1, 4) for p in shard.column("places").to_pylist()]
+    at: dict[bytes, int] = {}
+    which = np.array([at.setdefault(c, len(at)) for c in shard.column("content").to_pylist()])
+    own = np.full(len(at), NO_ID)
+    np.minimum.at(own, which, np.array([p[:, 0].min() for p in places]))
+    least = least_ids([np.frombuffer(c, np.uint64) for c in at], own)
+    out: dict[tuple[int, int, int], list[np.ndarray]] = {}
+    for k, p in zip(which.tolist(), places):
+        best = least[k]
+        for o, mark, check, start in p[p[:, 0] > best.min()].tolist():
+            out.setdefault((mark, check, o), []).append(np.flatnonzero(best < o) + start)
+    keys = list(out)
+    columns = [pa.array([k[i] for k in keys], pa.int64()) for i in range(3)]
+    return pa.table({"mark": columns[0], "check": columns[1], "own": columns[2], "starts": pa.array([np.concatenate(v).astype("<i4").tobytes() for v in out.values()], pa.binary())})
+
+
+def least_ids(seqs: list[np.ndarray], own: np.ndarray) -> list[np.ndarray]:
+    """For each window of each sequence: the least of own over all sequences that have it."""
     sizes = np.array([len(s) for s in seqs])
     _, code = np.unique(np.concatenate(seqs), return_inverse=True)
     starts = np.cumsum(sizes + 1) - (sizes + 1)
     text = np.zeros(int((sizes + 1).sum()), np.int64)
     owner = np.repeat(np.arange(len(seqs)), sizes + 1)
-    inside = np.arange(len(text)) - starts[owner] < sizes[owner]
+    place = np.arange(len(text)) - starts[owner]
+    inside = place < sizes[owner]
     text[inside] = code + 1
     index = FMIndex(text, WINDOW + 1)
-    ends = np.flatnonzero(inside & (np.arange(len(text)) - starts[owner] >= WINDOW - 1))
+    ends = np.flatnonzero(inside & (place >= WINDOW - 1))
     matched, low, high = index.matched(text, ends, WINDOW)
     least = own[owner[ends]].copy()
     full = np.flatnonzero(matched == WINDOW)
-    ranges, which = np.unique(np.stack((low[full], high[full])), axis=1, return_inverse=True)
     if len(full):
-        by_suffix = np.append(own[owner[index.order]], NO_ID)
+        lows, which = np.unique(low[full], return_inverse=True)
+        highs = np.zeros(len(lows), np.int64)
+        highs[which] = high[full]
         # ranges of different windows don't overlap, so every other result of reduceat is that of a range
-        best = np.minimum.reduceat(by_suffix, ranges.T.reshape(-1))[::2]
-        least[full] = np.minimum(best[which.reshape(-1)], least[full])
-    windows = np.cumsum(sizes - WINDOW + 1)
-    cut = np.split(least, windows[:-1])
-    return pa.table({"k1": shard.column("k1"), "k2": shard.column("k2"), "least": pa.array([c.astype("<i8").tobytes() for c in cut], pa.binary())})
+        best = np.minimum.reduceat(np.append(own[owner[index.order]], NO_ID), np.stack((lows, highs), 1).reshape(-1))[::2]
+        least[full] = best[which]
+    return np.split(least, np.cumsum(sizes - WINDOW + 1)[:-1])
 
 
 def removed_words(n: int, starts: np.ndarray) -> np.ndarray:
@@ -124,48 +145,26 @@ def removed_words(n: int, starts: np.ndarray) -> np.ndarray:
     return np.cumsum(cover[:-1]) > 0
 
 
-def marked(docs: DataFrame) -> DataFrame:
-    """doc_id, text (null: empty), and two hashes of it."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return texts.withColumn("mark", F.xxhash64("text")).withColumn("check", F.hash("text"))
-
-
 def dedup(docs: DataFrame, shard_segments: int = SHARD_SEGMENTS) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for each row of docs.
 
     A null text has no words; texts of fewer than 13 words lose none. A null id comes after all others. Rows with
     equal ids don't take words from each other. kept_sha256 is that of the kept words joined by one space.
     """
-    texts = marked(docs)
-    ranked = F.coalesce("doc_id", F.lit(NO_ID))
-    firsts = texts.groupBy("mark", "check").agg(F.min(ranked).alias("first"))
-    pairs = anchored(texts).repartition("anchor")
-    several = pairs.groupBy("anchor").agg(F.min("mark").alias("a"), F.max("mark").alias("b")).where("a < b").select("anchor")
-    per_text = checkpointed(pairs.join(several, "anchor", "left_semi").groupBy("mark").agg(F.collect_set("anchor").alias("repeated")))
-    laid = texts.withColumn("own", ranked)
-    chosen = laid.join(firsts, ["mark", "check"]).where("own = first").join(per_text, "mark")
-    pieces = cut_segments(chosen.select(F.col("own").alias("doc_id"), F.xxhash64("mark", "check").alias("mark"), "text", "repeated"))
-    pieces = checkpointed(pieces.withColumns({"k1": F.xxhash64("content"), "k2": F.xxhash64("content", F.lit(7))}))
-    distinct = pieces.groupBy("anchor", "k1", "k2", "content").agg(F.min("doc_id").alias("own"))
-    n = pieces.select(F.approx_count_distinct("k1")).first()[0]
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("own"), F.coalesce("text", F.lit("")).alias("text"))
+    # equal texts are told by two hashes; the first one is the key of all joins, so the texts are shuffled once
+    texts = texts.withColumn("mark", F.xxhash64("text")).withColumn("check", F.hash("text").cast("long"))
+    firsts = texts.groupBy("mark", "check").agg(F.min("own").alias("first")).groupBy("mark").agg(F.collect_list(F.struct("check", "first")).alias("firsts"))
+    same = Window.partitionBy("anchor")
+    several = anchored(texts).withColumn("a", F.min("mark").over(same)).withColumn("b", F.max("mark").over(same)).where("a < b")
+    per_text = checkpointed(several.groupBy("mark").agg(F.collect_list("anchor").alias("repeated")))
+    n = per_text.agg(F.sum(F.size("repeated"))).first()[0] or 0
     shards = max(1, n // shard_segments)
-    by_shard = distinct.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).groupBy("shard")
-    least = by_shard.applyInArrow(lambda t: indexed(t), "k1 long, k2 long, least binary")
-    hits = pieces.select("doc_id", "mark", "start", "k1", "k2").join(least, ["k1", "k2"])
-
-    def starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for doc_id, mark, start, best in zip(*(c.to_pylist() for c in b.columns)):
-                gone = np.flatnonzero(np.frombuffer(best, "<i8") < doc_id)
-                if len(gone):
-                    out.append((doc_id, mark, (gone + start).astype("<i4").tobytes()))
-            columns = list(zip(*out)) if out else [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary())], ["own", "both", "starts"])
-
-    gone = hits.select("doc_id", "mark", "start", "least").mapInArrow(starts, "own long, both long, starts binary").groupBy("both").agg(F.collect_list("starts").alias("starts"))
-    whole = laid.join(firsts, ["mark", "check"]).withColumn("both", F.xxhash64("mark", "check"))
-    whole = whole.join(checkpointed(gone), "both", "left").select("doc_id", "own", "first", "text", "starts")
+    laid = texts.join(firsts, "mark").withColumn("first", F.filter("firsts", lambda x: x["check"] == F.col("check"))[0]["first"]).drop("firsts")
+    pieces = cut_segments(laid.where("own = first").join(per_text, "mark"))
+    found = pieces.groupBy(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard")).applyInArrow(lambda t: indexed(t), "mark long, check long, own long, starts binary")
+    gone = found.groupBy("mark").agg(F.collect_list(F.struct("check", "own", "starts")).alias("gone"))
+    whole = laid.join(gone, "mark", "left").select("doc_id", "own", "first", "text", F.transform(F.filter("gone", lambda x: (x["check"] == F.col("check")) & (x["own"] == F.col("own"))), lambda x: x["starts"]).alias("starts"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
