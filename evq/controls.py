@@ -1 +1,113 @@
-QUERIES = {}
+"""Queries over the driver-side rules; what is expected of them stands in their SQL as labelled rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from evq.plans import grounding, routing
+from evq.plans.guard import Guard, single_object_issues
+from evq.sources.build import table
+
+ROUTED = {
+    "What is the total amount invested by client A1?": "investment",
+    "How many investment records does client C1 have?": "investment",
+    "List the deal names for client D1.": "investment",
+    "What is the latest AUM for client A1?": "performance",
+    "Show the latest performance snapshot for client C1.": "performance",
+    "What is the IRR of client B1?": "performance",
+    "What concerns were raised in client A1's meetings?": "meeting",
+    "What action items were recorded for client A1?": "meeting",
+    "Which meeting had the largest estimated deal size?": "meeting",
+    "How many investment records and how many meetings does client B1 have?": "hybrid",
+    "Which clients with AUM above 10M discussed refinancing in meetings?": "hybrid",
+    "Tell me about client A1.": "ambiguous:no_intent_signals",
+    "What is the total amount?": "ambiguous:weak_signal_only",
+    "How many clients are Dormant?": "ambiguous:status_source_unclear",
+    "What is client A1's total investment and latest MOIC?": "ambiguous:multiple_structured_sources",
+    "How many meetings were held by relationship manager Priya?": "ambiguous:rm_meeting_link",
+    "What is the latest return amount?": "ambiguous:conflicting_weak_signals",
+}
+INTENTS = {
+    "What did they say about pricing in meetings?": "topical",
+    "How many meetings took place in 2023?": "aggregate",
+    "When was the most recent meeting?": "listing",
+    "How many meetings took place after the latest performance snapshot?": "unsupported",
+}
+STATEMENTS = {
+    "SELECT count(*) AS n FROM orders_view": "ok",
+    "WITH t AS (SELECT client FROM orders_view) SELECT count(*) AS n FROM t": "ok",
+    "SELECT client, rank() OVER (ORDER BY amount) AS r FROM orders_view": "ok",
+    "": "empty_sql",
+    "SELECT 'a FROM orders_view": "unbalanced_quotes",
+    "SELECT 1 -- hidden": "comment_not_allowed",
+    "SELECT 1; SELECT 2": "multiple_statements",
+    "DELETE FROM orders_view": "forbidden_keyword,not_a_select",
+    "WITH orders_view AS (SELECT 1 AS x) SELECT x FROM orders_view": "cte_name_collision",
+    "SELECT * FROM secrets": "unauthorized_table",
+    "SELECT java_method('java.lang.System', 'getenv', 'HOME') AS x FROM orders_view": "unauthorized_function",
+    "SELECT ntile(4) OVER (ORDER BY amount) AS x FROM orders_view": "unauthorized_function",
+    "SELECT hidden FROM orders_view": "unauthorized_column",
+    "SELECT * FROM parquet.`/etc/passwd`": "unauthorized_table",
+}
+ANSWERS = {
+    "The total is 1,234.5 [investments].": "",
+    "The total is 1.2 thousand [investments].": "",
+    "The total is 1,300 [investments].": "ungrounded_number:1300",
+    "It was raised on 2024-02-30 [investments], 1234.5 in all.": "ungrounded_date:2024-02-30",
+    "The total is 1234.5.": "missing_citation:investments",
+    "No data was found [investments].": "denies_evidence",
+    "See [meeting: 7, 2024-01-01] [investments].": "bad_citation:7",
+}
+
+
+def values(rows: dict[str, str], key: str, value: str) -> str:
+    quote = lambda s: "'" + s.replace("'", "''") + "'"
+    return f"SELECT * FROM (VALUES {', '.join(f'({quote(k)}, {quote(v)})' for k, v in rows.items())}) t({key}, {value})"
+
+
+def route_questions(spark, d):
+    got = [(q, r.route if r.route != routing.AMBIGUOUS else f"{r.route}:{r.rule}") for q in ROUTED for r in [routing.route(q)]]
+    return spark.createDataFrame(got, "question string, route string")
+
+
+def intent_questions(spark, d):
+    return spark.createDataFrame([(q, routing.intent(q)) for q in INTENTS], "question string, intent string")
+
+
+def guard_verdicts(spark, d):
+    view = table(spark, d, "orders").select(F.col("o_custkey").alias("client"), F.col("o_totalprice").alias("amount"))
+    guard = Guard(spark, {"orders_view": view})
+    got = [(s, ",".join(sorted(v.issues)) or "ok") for s in STATEMENTS for v in [guard.validate(s)]]
+    return spark.createDataFrame(got, "statement string, verdict string")
+
+
+def guard_execute(spark, d):
+    view = table(spark, d, "orders").select(F.col("o_custkey").alias("client"), F.col("o_totalprice").alias("amount"))
+    got = Guard(spark, {"orders_view": view}).execute("SELECT client, count(*) AS n FROM orders_view GROUP BY client ORDER BY n DESC, client")
+    return spark.createDataFrame([(*r, got["truncated"]) for r in got["rows"]], "client long, n long, truncated boolean")
+
+
+def single_object(spark, d):
+    rows = [("SELECT count(*) FROM m", "m"), ("SELECT count(*) FROM m JOIN n USING (k)", "m,n")]
+    return spark.createDataFrame([(s, ",".join(single_object_issues(s, t.split(",")))) for s, t in rows], "statement string, issues string")
+
+
+def number_grounding(spark, d):
+    got = [(a, ",".join(grounding.validate(a, ["investments"], [(1234.5,)]).reasons)) for a in ANSWERS]
+    return spark.createDataFrame(got, "answer string, reasons string")
+
+
+def term_audit(spark, d):
+    kept, left = routing.terms("What did client A1 say about hedging costs in the last meeting?", ("client A1",))
+    return spark.createDataFrame([(",".join(kept), ",".join(left))], "kept string, left_out string")
+
+
+QUERIES = {
+    "route_questions": (route_questions, values(ROUTED, "question", "route")),
+    "intent_questions": (intent_questions, values(INTENTS, "question", "intent")),
+    "guard_verdicts": (guard_verdicts, values(STATEMENTS, "statement", "verdict")),
+    "guard_execute": (guard_execute, "SELECT o_custkey AS client, count(*) AS n, true AS truncated FROM orders GROUP BY 1 ORDER BY n DESC, client LIMIT 50"),
+    "single_object": (single_object, values({"SELECT count(*) FROM m": "", "SELECT count(*) FROM m JOIN n USING (k)": "join_not_allowed"}, "statement", "issues")),
+    "number_grounding": (number_grounding, values(ANSWERS, "answer", "reasons")),
+    "term_audit": (term_audit, "SELECT 'hedging,costs' AS kept, 'what,did,say,about,in,the,last,meeting' AS left_out"),
+}

@@ -621,7 +621,7 @@ def mention_extract(spark, d):
     return E.mentions(asked, "c_custkey", "question", dictionary(spark, d).where("etype = 'client'")).select("c_custkey", "value")
 
 
-from evq import controls  # noqa: E402  queries over the driver-side rules register themselves below
+from evq import controls  # noqa: E402
 
 for _name, (_f, _sql) in controls.QUERIES.items():
     QUERIES[_name] = _f
