@@ -142,16 +142,18 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     schema = docs.select(*dict.fromkeys((id_col, *keep))).schema
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            xs = [grams(t) if model else None for t in b.column(b.num_columns - 1).to_pylist()]
-            known = [i for i, x in enumerate(xs) if x is not None]
-            lang, share, vague = [UNKNOWN] * len(xs), np.zeros(len(xs)), np.ones(len(xs), bool)
-            if known:
-                best, s, gap = model.decode(np.stack([xs[i] for i in known]))
-                share[known], vague[known] = np.clip(s, 0, 1), gap < AMBIGUOUS
-                for i, k in zip(known, best):
-                    lang[i] = model.languages[k]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(lang, pa.string()), pa.array(share), pa.array(vague)], [*b.schema.names[:-1], "lang_pred", "score", "ambiguous"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):  # bounds the dense features held at once
+                b = whole.slice(at, 256)
+                xs = [grams(t) if model else None for t in b.column(b.num_columns - 1).to_pylist()]
+                known = [i for i, x in enumerate(xs) if x is not None]
+                lang, share, vague = [UNKNOWN] * len(xs), np.zeros(len(xs)), np.ones(len(xs), bool)
+                if known:
+                    best, s, gap = model.decode(np.stack([xs[i] for i in known]))
+                    share[known], vague[known] = np.clip(s, 0, 1), gap < AMBIGUOUS
+                    for i, k in zip(known, best):
+                        lang[i] = model.languages[k]
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(lang, pa.string()), pa.array(share), pa.array(vague)], [*b.schema.names[:-1], "lang_pred", "score", "ambiguous"])
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + ", lang_pred string, score double, ambiguous boolean"
     return docs.select(*(F.col(f"`{c}`") for c in schema.names), F.col(f"`{text_col}`").alias("__text")).mapInArrow(score, ddl)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 WINDOW, END_ID = 2048, 1
 #: A shard is closed at so many bytes of text or documents.
-SHARD_BYTES, SHARD_DOCS = 14_000_000, 20_000
+SHARD_BYTES, SHARD_DOCS = 6_000_000, 20_000
 #: A seed asks with its most telling terms, so many of them; BM25 parameters.
 TERMS, K1, B = 16, 1.2, 0.75
 
@@ -63,10 +63,13 @@ class Encoder:
             return [], []
         between = f" {mark} "
         flat, sizes = [], []
-        for e in tokenizer.encode_batch_fast([between.join(some[i : i + JOINED]) for i in range(0, len(some), JOINED)], add_special_tokens=False):
-            ids = np.array(e.ids, np.uint32)
-            sizes.append(np.diff(np.flatnonzero(ids == self.end), prepend=-1, append=len(ids)) - 1)
-            flat.append(ids[ids != self.end])
+        step = 32 * JOINED  # what a call returns is much larger than the ids, so few words go at once
+        for at in range(0, len(some), step):
+            part = some[at : at + step]
+            for e in tokenizer.encode_batch_fast([between.join(part[i : i + JOINED]) for i in range(0, len(part), JOINED)], add_special_tokens=False):
+                ids = np.array(e.ids, np.uint32)
+                sizes.append(np.diff(np.flatnonzero(ids == self.end), prepend=-1, append=len(ids)) - 1)
+                flat.append(ids[ids != self.end])
         return flat, sizes
 
     def words(self, distinct: list[str]) -> tuple[np.ndarray, np.ndarray]:
