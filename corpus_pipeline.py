@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evq.llm import language_id, mixing, ngram_join, packing, secret_scan
-from evq.llm.common import checkpointed, table
+from evq.llm.common import checkpointed, short_batches, table
 from evq.llm.queries import tokenizer_path
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a letter and those whose language is ambiguous; fills in a missing lang."""
+    short_batches(spark)
     model = language_id.train(docs)
     names = tuple(docs.columns)
     told = language_id.identify(docs, model, keep=names)
@@ -21,6 +22,7 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of copies and near copies stays."""
+    short_batches(spark)
     return ngram_join.one_of_each(docs)
 
 
@@ -36,6 +38,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    short_batches(spark)
     return packing.pack(docs, tokenizer_path())
 
 
