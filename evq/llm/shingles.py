@@ -9,7 +9,7 @@ from .common import words
 
 SHINGLE, HASHES, ROWS = 5, 128, 4
 BANDS = HASHES // ROWS
-_REMEMBERED = 1 << 19
+_REMEMBERED = 1 << 16
 _KNOWN: dict[bytes, int] = {}
 
 _rng = np.random.default_rng(20_11)

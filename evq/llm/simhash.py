@@ -16,7 +16,7 @@ from .common import words
 
 BITS = 128
 #: Words whose hashes a worker remembers.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 16
 #: Documents of one stretch of the descending order.
 STRETCH, MOST_STRETCHES = 4000, 20_000
 
