@@ -11,10 +11,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import cache
 from hashlib import blake2b
 from math import comb
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +26,8 @@ from .components import components
 from .shingles import HASHES, bands, minhash, shingle_set
 
 THRESHOLD, TOLERANCE, STEP = 0.8, 1e-7, 16
-#: Classes of a block.
-BLOCK = 400
+#: Classes of a block, and shingles of a block (expected): both bound the memory of a comparison.
+BLOCK, BLOCK_SHINGLES = 400, 400_000
 
 
 @cache
@@ -119,20 +119,21 @@ def roots(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """doc_id, mark (a hash of the text), key (of the shingle set; null without words), bands."""
+    """doc_id, mark (a hash of the text), key (of the shingle set; null without words), its size, bands."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, all_bands = [], []
+            keys, sizes, all_bands = [], [], []
             for text in b.column(2).to_pylist():
                 s = shingle_set(text)
+                sizes.append(len(s))
                 keys.append(blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 all_bands.append(bands(minhash(s)) if len(s) else None)
             flat = np.concatenate([x for x in all_bands if x is not None]) if any(x is not None for x in all_bands) else np.empty(0, np.int64)
             ends = np.cumsum([0] + [0 if x is None else len(x) for x in all_bands])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["doc_id", "mark", "key", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["doc_id", "mark", "key", "size", "bands"])
 
-    return docs.select("doc_id", "mark", "text").mapInArrow(rows, "doc_id long, mark long, key binary, bands array<long>")
+    return docs.select("doc_id", "mark", "text").mapInArrow(rows, "doc_id long, mark long, key binary, size long, bands array<long>")
 
 
 def compared(rows: pa.Table, threshold: float) -> pa.Table:
@@ -162,15 +163,15 @@ def joined(docs: DataFrame, threshold: float, block: int) -> DataFrame:
     texts = marked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")))
     rows = checkpointed(sketched(texts))
     kept = rows.where("key is not null")
-    classes = kept.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")).alias("rep"), F.min("doc_id").alias("least"), F.count("*").alias("n"))
+    classes = kept.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")).alias("rep"), F.min("doc_id").alias("least"), F.count("*").alias("n"), F.max("size").alias("shingles"))
     node = F.xxhash64("key").alias("node")
     placed = kept.select(node, F.explode("bands").alias("band"))
     buckets = placed.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
     edges = placed.join(buckets, "band").select(F.col("node").alias("u"), F.col("low").alias("v"))
     clusters = components(edges).select("node", F.col("root").alias("cluster"))
-    members = checkpointed(classes.withColumn("node", node).join(clusters, "node").select("cluster", "key", "rep", "n"))
-    sizes = members.groupBy("cluster").agg(F.count("*").alias("size"))
-    parts = F.ceil(F.col("size") / block).cast("int")
+    members = checkpointed(classes.withColumn("node", node).join(clusters, "node").select("cluster", "key", "rep", "n", "shingles"))
+    sizes = members.groupBy("cluster").agg(F.count("*").alias("size"), F.sum("shingles").alias("all"))
+    parts = F.greatest(F.ceil(F.col("size") / block), F.ceil(F.col("all") / BLOCK_SHINGLES)).cast("int")
     blocks = members.join(sizes, "cluster").withColumn("parts", parts).withColumn("block", F.pmod(F.xxhash64("key", F.lit(3)), F.col("parts")).cast("int"))
     told = blocks.select("cluster", "key", "n", "block", "parts", F.col("rep.doc_id").alias("doc_id"), F.col("rep.mark").alias("mark"))
     with_text = told.join(texts, told["mark"].eqNullSafe(texts["mark"]) & told["doc_id"].eqNullSafe(texts["doc_id"])).select("cluster", "key", "n", "block", "parts", "text")
