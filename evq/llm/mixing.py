@@ -211,8 +211,9 @@ def blend(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     passes = docs.sparkSession.createDataFrame(spec, "_key string, _full long, _rest long")
     last = plan.placed().join(passes, "_key").where("_a + _size / 2.0 <= _rest and _rest > 0").groupBy("_key").agg(F.max(F.struct(F.pmod(F.shiftright("_place", 20), F.lit(BUCKETS)).alias("b"), "_place")).alias("_last"))
     until = checkpointed(passes.join(last, "_key", "left").select("_key", "_full", "_last"))
-    own = docs.select("*", pattern_of(docs, sources).alias("_key"), place_of(seed, F.col(f"`{id_col}`"), word_count(F.col(f"`{text_col}`"))).alias("_place"))
+    whole_row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")  # whatever its columns are called
+    own = docs.select(whole_row, pattern_of(docs, sources).alias("_key"), place_of(seed, F.col(f"`{id_col}`"), word_count(F.col(f"`{text_col}`"))).alias("_place"))
     own = own.withColumn("_at", F.struct(F.pmod(F.shiftright("_place", 20), F.lit(BUCKETS)).alias("b"), "_place"))
     own = own.join(F.broadcast(until) if len(spec) <= 10_000 else until, "_key")
     times = F.col("_full") + F.coalesce(F.col("_at") <= F.col("_last"), F.lit(False)).cast("long")
-    return own.withColumn("_times", times).where("_times > 0").withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return own.withColumn("_times", times).where("_times > 0").withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select("_row.*")

@@ -209,5 +209,7 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOC
     Documents without words stay, one for each id. Columns are those of docs.
     """
     keepers = joined(docs, threshold, block).select(F.xxhash64("keeper.doc_id", "keeper.mark").alias("_own")).distinct()
-    own = marked(docs).withColumn("_own", F.xxhash64(F.col("doc_id").cast("long"), "mark"))
-    return own.join(keepers, "_own").dropDuplicates(["_own"]).select(*docs.columns)
+    whole_row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")  # whatever its columns are called
+    mark = F.coalesce(F.xxhash64("text"), F.lit(0))
+    own = docs.select(whole_row, F.xxhash64(F.col("doc_id").cast("long"), mark).alias("_own"))
+    return own.join(keepers, "_own").dropDuplicates(["_own"]).select("_row.*")

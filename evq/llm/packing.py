@@ -56,6 +56,8 @@ class Encoder:
         ends = [t.encode(b, add_special_tokens=False).ids for t, b in ((self.tokenizer, BREAK), (self.plain, PLAIN_BREAK))]
         assert ends[0] == ends[1] and len(ends[0]) == 1, "the tokenizer has no token of its own for the break"
         self.end = ends[0][0]
+        # their strings are looked for in the text as it is, before all else
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def parts(self, some: list[str], tokenizer, mark: str) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Ids of some words, run together, and the size of each."""
@@ -78,7 +80,10 @@ class Encoder:
         heads, tails = [], []
         for w in distinct:
             x = w.rstrip(MARKS)
-            if x and len(x) < len(w) and (x[-1].isalpha() or x[-1] in "0123456789"):
+            if any(t in w for t in self.special):
+                heads.append(atoms.setdefault(w, len(atoms)))
+                tails.append(0)
+            elif x and len(x) < len(w) and (x[-1].isalpha() or x[-1] in "0123456789"):
                 heads.append(atoms.setdefault(x, len(atoms)))
                 tails.append(atoms.setdefault(w[len(x) :], len(atoms)))
             else:
@@ -87,7 +92,7 @@ class Encoder:
         plain, other, odd = [], [], []
         for w in atoms:
             if w:
-                (plain if w.isascii() and w.isalpha() else odd if BREAK in w else other).append(w)
+                (plain if w.isascii() and w.isalpha() and w.islower() else odd if BREAK in w or any(t in w for t in self.special) else other).append(w)
         order = np.array([0, *(atoms[w] for part in (plain, other, odd) for w in part)])
         flat, sizes = [], [np.zeros(1, np.int64)]
         for f, n in (self.parts(plain, self.plain, PLAIN_BREAK), self.parts(other, self.tokenizer, BREAK)):
@@ -105,7 +110,10 @@ class Encoder:
 
     def shard(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all texts one after another, each with the end id; ids of each; word numbers of all; words of each."""
-        split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        low = pc.ascii_lower(texts)
+        if not any(pc.any(pc.match_substring(low, t.lower())).as_py() for t in self.special):
+            texts = low  # fewer distinct words; where a special token may be, letters stay as they are
+        split = pc.ascii_split_whitespace(texts)
         coded = split.flatten().dictionary_encode()
         codes = coded.indices.to_numpy().astype(np.int64)
         each = np.diff(split.offsets.to_numpy())

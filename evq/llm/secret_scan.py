@@ -116,7 +116,7 @@ def digest(docs: DataFrame, table: list[float]) -> DataFrame:
 
 def redact(docs: DataFrame, table: list[float], mark: str = "[secret]") -> DataFrame:
     """docs with each span of text (overlapping ones together) replaced by the mark; other columns as they are."""
-    rows = scan(docs.select(*docs.columns), table)
+    rows = scan(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), "text"), table)
     cut = F.aggregate(
         "spans",
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
@@ -124,4 +124,4 @@ def redact(docs: DataFrame, table: list[float], mark: str = "[secret]") -> DataF
         lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text") - acc["at"])),
     )
     text = F.when(F.size("spans") > 0, cut).otherwise(F.col("text"))
-    return rows.withColumn("text", text).select(*docs.columns)
+    return rows.select(*(text.alias(c) if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns))
