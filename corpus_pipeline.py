@@ -14,10 +14,12 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a letter and those whose language is ambiguous; fills in a missing lang."""
     short_batches(spark)
     model = language_id.train(docs)
-    names = tuple(docs.columns)
-    told = language_id.identify(docs, model, keep=names)
-    kept = told.where((F.col("lang_pred") != language_id.UNKNOWN) & ~F.col("ambiguous")) if model else told.where(F.col("text").rlike(r"\p{L}"))
-    return kept.withColumn("lang", F.coalesce("lang", F.when(F.col("lang_pred") != language_id.UNKNOWN, F.col("lang_pred")))).select(*names)
+    rows = docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    told = language_id.identify(rows, model, keep=("row",))
+    known = F.col("lang_pred") != language_id.UNKNOWN
+    kept = told.where(known & ~F.col("ambiguous")) if model else told.where(F.col("row.text").rlike(r"\p{L}"))
+    lang = F.coalesce(F.col("row.lang"), F.when(known, F.col("lang_pred")))
+    return kept.select(*(lang.alias(c) if c == "lang" else F.col(f"row.`{c}`") for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
