@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import give_back
+
 #: Expected number of training rows of each language, and hashed features.
 PER_LANGUAGE, FEATURES = 500, 2048
 #: Below this gap between the two best languages' shares a document is ambiguous.
@@ -155,5 +157,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
                         lang[i] = model.languages[k]
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(lang, pa.string()), pa.array(share), pa.array(vague)], [*b.schema.names[:-1], "lang_pred", "score", "ambiguous"])
 
+        give_back()
+
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + ", lang_pred string, score double, ambiguous boolean"
     return docs.select(*(F.col(f"`{c}`") for c in schema.names), F.col(f"`{text_col}`").alias("__text")).mapInArrow(score, ddl)

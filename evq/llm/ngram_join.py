@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, give_back
 from .components import components
 from .shingles import HASHES, bands, minhash, shingle_set
 
@@ -132,6 +132,7 @@ def sketched(docs: DataFrame) -> DataFrame:
             flat = np.concatenate([x for x in all_bands if x is not None]) if any(x is not None for x in all_bands) else np.empty(0, np.int64)
             ends = np.cumsum([0] + [0 if x is None else len(x) for x in all_bands])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["doc_id", "mark", "key", "size", "bands"])
+        give_back()
 
     return docs.select("doc_id", "mark", "text").mapInArrow(rows, "doc_id long, mark long, key binary, size long, bands array<long>")
 

@@ -18,9 +18,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import give_back
+
 WINDOW, END_ID = 2048, 1
 #: A shard is closed at so many bytes of text or documents.
-SHARD_BYTES, SHARD_DOCS = 6_000_000, 20_000
+SHARD_BYTES, SHARD_DOCS = 4_000_000, 20_000
 #: A seed asks with its most telling terms, so many of them; BM25 parameters.
 TERMS, K1, B = 16, 1.2, 0.75
 
@@ -255,7 +257,10 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
                 if size >= SHARD_BYTES or n >= SHARD_DOCS:
                     yield from shard()
                     held, size, n = [], 0, 0
+                    give_back()
         if held:
             yield from shard()
+        held = []
+        give_back()
 
     return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(rows, f"`{id_col}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
