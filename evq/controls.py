@@ -31,7 +31,36 @@ INTENTS = {
     "What did they say about pricing in meetings?": "topical",
     "How many meetings took place in 2023?": "aggregate",
     "When was the most recent meeting?": "listing",
-    "How many meetings took place after the latest performance snapshot?": "unsupported",
+    "Which meetings of client A12345 happened since 2024-03-01?": "unsupported",
+    "Meetings for client A12345 between 2024-01-01 and 2024-06-30": "unsupported",
+}
+RELATIONS = {
+    "Meetings since 2026-01-01": "since:2026-01-01",
+    "Meetings prior to 2024-01-01": "prior to:2024-01-01",
+    "Meetings between 2023-01-01 and 2023-06-30": "between:2023-01-01",
+    "Meetings on or  after 2024-05-05": "on or after:2024-05-05",
+    "Meetings since March 2025": "since:March 2025",
+    "Meetings after the 2024-10-25 snapshot": "after:2024-10-25",
+    "What happened in the meeting on 2022-10-01?": "",
+    "Meetings after its latest performance snapshot": "",
+    "Who joined after the deal closed?": "",
+    "How many meetings were held?": "",
+}
+FIELDS = {
+    "What was the estimated deal size at the series B stage?": "stage,deal_size",
+    "Which company?": "company",
+    "Which sectors and regions?": "sector,region",
+    "How many meetings were held?": "",
+}
+CITATIONS = {
+    "1,234.5 [investments].": "",
+    "1,234.5 [performance].": "unused_source:performance",
+    "Raised once [meeting: 7, 2024-01-02].": "",
+    "Raised once [Meeting: 7 , 2024-01-02].": "",
+    "Raised once [meeting: 7, 2024-01-01].": "bad_citation:7",
+    "Raised once [meeting: 8, 2024-01-02].": "bad_citation:8",
+    "Raised once [meeting 7].": "malformed_citation:meeting 7",
+    "Raised [sic] once.": "",
 }
 STATEMENTS = {
     "SELECT count(*) AS n FROM orders_view": "ok",
@@ -102,7 +131,23 @@ def term_audit(spark, d):
     return spark.createDataFrame([(",".join(kept), ",".join(left))], "kept string, left_out string")
 
 
+def date_relation(spark, d):
+    return spark.createDataFrame([(q, ":".join(routing.date_relation(q) or ())) for q in RELATIONS], "question string, relation string")
+
+
+def requested_fields(spark, d):
+    return spark.createDataFrame([(q, ",".join(routing.requested_fields(q))) for q in FIELDS], "question string, fields string")
+
+
+def citation_check(spark, d):
+    got = [(a, ",".join(grounding.citations(a, ["investments"], {7: "2024-01-02"})[1])) for a in CITATIONS]
+    return spark.createDataFrame(got, "answer string, issues string")
+
+
 QUERIES = {
+    "date_relation": (date_relation, values(RELATIONS, "question", "relation")),
+    "requested_fields": (requested_fields, values(FIELDS, "question", "fields")),
+    "citation_check": (citation_check, values(CITATIONS, "answer", "issues")),
     "route_questions": (route_questions, values(ROUTED, "question", "route")),
     "intent_questions": (intent_questions, values(INTENTS, "question", "intent")),
     "guard_verdicts": (guard_verdicts, values(STATEMENTS, "statement", "verdict")),
