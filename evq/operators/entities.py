@@ -54,12 +54,15 @@ def resolve(words: DataFrame, text: str) -> dict:
     return {"status": "not_found", "rule": None, "candidates": [(r["etype"], r["value"]) for r in candidates(partial(words, text)).collect()], "more": False}
 
 
-def mentions(texts: DataFrame, key: str, text: str, words: DataFrame, longest: int = 6) -> DataFrame:
+def mentions(texts: DataFrame, key: str, text: str, words: DataFrame, longest: int | None = None) -> DataFrame:
     """key, at, size, etype, value: names in many texts, the longest first and none overlapping.
 
-    Runs of tokens are looked up by an equi-join; which of the overlapping ones stay is decided per text.
+    Runs of tokens are looked up by an equi-join, in every length that a name of the dictionary has (or those up to
+    longest, if it's given); which of the overlapping ones stay is decided per text.
     """
-    runs = texts.select(key, tokens(F.col(text)).alias("t")).select(key, F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.when(F.size("t") >= n, F.transform(F.sequence(F.lit(1), F.size("t") - n + 1), lambda i: F.struct(i.alias("at"), n.alias("size"), F.array_join(F.slice("t", i, n), " ").alias("k")))).otherwise(F.array().cast("array<struct<at:int,size:int,k:string>>"))))).alias("r"))
+    sizes = sorted(r[0] for r in words.where("key is not null").select(F.size(F.split("key", " "))).distinct().collect())
+    sizes = [n for n in sizes if longest is None or n <= longest] or [1]
+    runs = texts.select(key, tokens(F.col(text)).alias("t")).select(key, F.explode(F.flatten(F.transform(F.array(*map(F.lit, sizes)), lambda n: F.when(F.size("t") >= n, F.transform(F.sequence(F.lit(1), F.size("t") - n + 1), lambda i: F.struct(i.alias("at"), n.alias("size"), F.array_join(F.slice("t", i, n), " ").alias("k")))).otherwise(F.array().cast("array<struct<at:int,size:int,k:string>>"))))).alias("r"))
     found = runs.select(key, "r.at", "r.size", F.col("r.k").alias("key_")).join(words.select(F.col("key").alias("key_"), "etype", "value"), "key_")
     spans = found.groupBy(key).agg(F.array_sort(F.collect_set(F.struct((-F.col("size")).alias("s"), "at", "size"))).alias("spans"))
     free = lambda acc, x: ~F.exists(acc, lambda y: (y["at"] < x["at"] + x["size"]) & (x["at"] < y["at"] + y["size"]))

@@ -617,7 +617,16 @@ def ambiguity_cap(spark, d):
 
 @query("SELECT c_custkey, 'Customer#' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS value FROM customer WHERE c_custkey % 10 = 0")
 def mention_extract(spark, d):
-    asked = table(spark, d, "customer").where("c_custkey % 10 = 0").select("c_custkey", F.concat(F.lit("please compare "), F.upper("c_name"), F.lit(" with all others")).alias("question"))
+    return mentioned(spark, d, table(spark, d, "customer").where("c_custkey % 10 = 0"))
+
+
+@query("SELECT c.c_custkey, n.c_name AS value FROM customer c JOIN (SELECT DISTINCT c_name FROM customer) n ON lower(n.c_name) = lower(c.c_name)")
+def mention_extract_all(spark, d):
+    return mentioned(spark, d, table(spark, d, "customer"))
+
+
+def mentioned(spark, d, customers):
+    asked = customers.select("c_custkey", F.concat(F.lit("please compare "), F.upper("c_name"), F.lit(" with all others")).alias("question"))
     return E.mentions(asked, "c_custkey", "question", dictionary(spark, d).where("etype = 'client'")).select("c_custkey", "value")
 
 

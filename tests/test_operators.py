@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from evq import queries
 from evq.operators import entities, lexical, vectors
 from evq.plans import evaluate, grounding, routing
 from evq.plans.guard import Guard, masked, scan
@@ -71,6 +72,22 @@ def test_entities(spark):
     assert [(r["at"], r["value"]) for r in got] == [(2, "Ann Lee Moss"), (6, "Ann Lee")]
 
 
+def test_mentions_of_long_names(spark):
+    long = "Society of the Nine Old Friends of the Harbour Library"
+    words = entities.dictionary({"rm": spark.createDataFrame([(long,), ("Harbour Library",), ("Nine",)], "n string")})
+    texts = spark.createDataFrame([(1, f"the {long.upper()} and nine more"), (2, "Harbour"), (3, None)], "id int, q string")
+    got = entities.mentions(texts, "id", "q", words).orderBy("id", "at").collect()
+    assert [(r["id"], r["at"], r["size"], r["value"]) for r in got] == [(1, 2, 10, long), (1, 13, 1, "Nine")]
+    assert entities.mentions(texts, "id", "q", words.where("false")).count() == 0
+
+
+def test_mentions_of_all_customers(spark):
+    data = "/root/testdata/sf0.001"
+    got = queries.QUERIES["mention_extract_all"](spark, data).collect()
+    want = spark.read.parquet(f"{data}/customer.parquet").select("c_custkey", "c_name").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
 def test_grounding():
     assert grounding.validate("About 12.3% [performance].", ["performance"], [(0.1234,)]).valid
     assert not grounding.validate("About 12.4% [performance].", ["performance"], [(0.1234,)]).valid
