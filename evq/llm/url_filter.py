@@ -3,7 +3,8 @@
 Labelled page outcomes are counted by host. A host's rate of bad pages is shrunk towards its registered domain's, a
 domain's towards its suffix's and a suffix's towards the overall rate, each through a beta-binomial prior whose
 strength is fitted to that level's counts by moments. A page is blocked if the lower posterior bound of its host's
-bad rate is above a limit, unless a rule decides.
+bad rate is above a limit, unless a rule decides. A host without labelled pages has the bound of the nearest level
+above it that has some.
 """
 
 from __future__ import annotations
@@ -76,41 +77,66 @@ def strength(level: DataFrame, parent: str) -> float:
     return min(STRONGEST, max(WEAKEST, 1 / rho - 1)) if rho > 0 else STRONGEST
 
 
-def reputation(outcomes: DataFrame) -> DataFrame:
-    """host, n, k, a, b: labelled pages, bad ones, and the beta posterior of each labelled host.
+def levels(outcomes: DataFrame) -> tuple[dict[str, DataFrame], dict[str, float], tuple[float, float]]:
+    """By level (suffix, domain, host): its units with n, k and their posterior's a, b; the strength of its prior. Last, a and b of all pages.
 
     outcomes: host, bad (0 or 1; null rows don't count). One row a host or less is shuffled at each level.
     """
     hosts = checkpointed(outcomes.where("host is not null and bad is not null").groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").alias("k"))
                          .withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))}))
     top = hosts.agg(F.sum("n").alias("n"), F.sum("k").alias("k")).first()
-    rate = ((top["k"] or 0) + 0.5) / ((top["n"] or 0) + 1.0)
-    up = F.lit(rate)
-    chain = None
+    a, b = (top["k"] or 0) + 0.5, (top["n"] or 0) - (top["k"] or 0) + 0.5
+    chain, found, strengths = None, {}, {}
     for unit in ("suffix", "domain", "host"):
         level = hosts.groupBy(*dict.fromkeys(["suffix", "domain", "host"][: ["suffix", "domain", "host"].index(unit) + 1])).agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-        level = level.withColumn("m", up) if chain is None else level.join(chain, [c for c in ("suffix", "domain") if c in chain.columns])
-        s = strength(level, "m")
-        level = level.withColumns({"a": F.col("m") * s + F.col("k"), "b": (1 - F.col("m")) * s + F.col("n") - F.col("k")})
+        level = level.withColumn("m", F.lit(a / (a + b))) if chain is None else level.join(chain, [c for c in ("suffix", "domain") if c in chain.columns])
+        s = strengths[unit] = strength(level, "m")
+        found[unit] = level = level.withColumns({"a": F.col("m") * s + F.col("k"), "b": (1 - F.col("m")) * s + F.col("n") - F.col("k")})
         keys = [c for c in ("suffix", "domain") if c in level.columns]
-        chain = level.select(*keys, (F.col("a") / (F.col("a") + F.col("b"))).alias("m")) if unit != "host" else level.select("host", "n", "k", "a", "b")
-    return chain
+        chain = level.select(*keys, (F.col("a") / (F.col("a") + F.col("b"))).alias("m"))
+    return found, strengths, (a, b)
+
+
+def reputation(outcomes: DataFrame) -> DataFrame:
+    """host, n, k, a, b: labelled pages, bad ones, and the beta posterior of each labelled host."""
+    return levels(outcomes)[0]["host"].select("host", "n", "k", "a", "b")
+
+
+def lower_bounds(hosts: DataFrame, outcomes: DataFrame, deviations: float = DEVIATIONS) -> DataFrame:
+    """host, bad_low of each distinct host: the lower bound of its bad rate by the nearest level that has outcomes.
+
+    A host without labelled pages is drawn from the priors below that level: given a mean m with posterior a, b its
+    variance is m (1 - m) (1 - product of s / (s + 1)), s being a + b and the strength of each level below. An empty
+    host is of no domain and no suffix.
+    """
+    found, strengths, (a, b) = levels(outcomes)
+    named = F.col("host") != ""
+    rows = hosts.select("host").distinct().withColumns({"domain": F.when(named, domain_of(F.col("host"))), "suffix": F.when(named, suffix_of(F.col("host")))})
+    posterior = F.lit(None).cast("struct<a:double,b:double,rest:double>")
+    rest = 1.0
+    for unit, keys in (("host", ["host"]), ("domain", ["suffix", "domain"]), ("suffix", ["suffix"])):
+        rows = rows.join(found[unit].select(*keys, F.struct("a", "b", F.lit(rest).alias("rest")).alias(f"by_{unit}")), keys, "left")
+        posterior = F.coalesce(posterior, F.col(f"by_{unit}"))
+        rest *= strengths[unit] / (strengths[unit] + 1)
+    posterior = F.coalesce(posterior, F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(rest).alias("rest")))
+    size = F.col("p.a") + F.col("p.b")
+    mean = F.col("p.a") / size
+    spread = F.sqrt(mean * (1 - mean) * (1 - F.col("p.rest") * size / (size + 1)))
+    return rows.select("host", posterior.alias("p")).select("host", F.greatest(F.lit(0.0), mean - deviations * spread).alias("bad_low"))
 
 
 def judge(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, limit: float = LIMIT, deviations: float = DEVIATIONS) -> DataFrame:
     """page_id, host, path, rule, verdict, bad_low: one row for each page, whatever its url.
 
     A null url, or one without ://, has an empty host and path; no rule fits it. Hosts without labelled pages are
-    allowed: nothing is known against them. Repeated rows are judged alike; other columns of pages aren't read.
+    judged by their domain, else their suffix, else all pages. Repeated rows are judged alike; other columns of pages
+    aren't read.
     """
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
-    mean = F.col("a") / (F.col("a") + F.col("b"))
-    spread = F.sqrt(mean * (1 - mean) / (F.col("a") + F.col("b") + 1))
-    known = reputation(outcomes).select("host", F.greatest(F.lit(0.0), mean - deviations * spread).alias("bad_low"))
     hit = rule_for(F.col("host"), F.col("path"), rules)
-    return rows.join(known, "host", "left").withColumn("hit", hit).select(
+    return rows.join(lower_bounds(rows, outcomes, deviations), "host", "left").withColumn("hit", hit).select(
         "page_id", "host", "path", F.col("hit.rule").alias("rule"),
-        F.coalesce(F.col("hit.verdict"), F.when(F.coalesce(F.col("bad_low"), F.lit(0.0)) > limit, "block").otherwise("allow")).alias("verdict"),
-        F.coalesce(F.col("bad_low"), F.lit(0.0)).alias("bad_low"),
+        F.coalesce(F.col("hit.verdict"), F.when(F.col("bad_low") > limit, "block").otherwise("allow")).alias("verdict"),
+        "bad_low",
     )

@@ -314,6 +314,26 @@ def test_urls(spark):
     assert url_filter.judge(pages, empty(bad)).count() == 9 and url_filter.judge(empty(pages), bad).count() == 0
 
 
+def test_urls_without_labels(spark):
+    bad = spark.createDataFrame([("a.evil.org", 1)] * 300 + [("www.good.org", 0)] * 300 + [("x.worse.zip", 1)] * 200 + [("y.worst.zip", 1)] * 100 + [("c.fine.net", 0)] * 200 + [("10.0.0.1", 1)] * 90 + [("0.1", 0), ("x.0.1", 0)], "host string, bad int")
+    want = {"a.evil.org": "block", "b.evil.org": "block", "b.good.org": "allow", "new.org": "allow", "q.other.zip": "block", "q.fine.net": "allow", "new.com": "allow", "10.0.0.1": "block", "y.0.1": "allow", "": "allow"}
+    pages = spark.createDataFrame([(h, f"http://{h}/") for h in want] * 2, "page_id string, url string")
+    got = url_filter.judge(pages, bad, rules=()).collect()
+    assert len(got) == 2 * len(want) and {r["host"]: r["verdict"] for r in got} == want
+    low = {r["host"]: r["bad_low"] for r in got}
+    known = {r["host"]: r for r in url_filter.reputation(bad).collect()}
+    for h, r in known.items():
+        if h in low:
+            m, s = r["a"] / (r["a"] + r["b"]), r["a"] + r["b"]
+            assert abs(low[h] - max(0, m - url_filter.DEVIATIONS * (m * (1 - m) / (s + 1)) ** 0.5)) < 1e-12
+    found, strengths, _ = url_filter.levels(bad)
+    a, b = found["domain"].where("domain = 'evil.org'").select("a", "b").first()
+    x = np.random.default_rng(5).beta(a, b, 400_000)
+    x = np.random.default_rng(6).beta(x * strengths["host"], np.maximum(1e-12, (1 - x) * strengths["host"]))
+    assert abs(low["b.evil.org"] - (x.mean() - url_filter.DEVIATIONS * x.std())) < 2e-3
+    assert {r["verdict"] for r in url_filter.judge(pages, empty(bad), rules=()).collect()} == {"allow"}
+
+
 def test_queries_and_pipeline(spark, odd):
     import corpus_pipeline
 
