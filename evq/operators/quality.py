@@ -27,6 +27,16 @@ def disagreement(a: DataFrame, a_key: str, a_value: str, b: DataFrame, b_key: st
     return left.join(b.select(F.col(b_key).alias("k"), F.col(b_value).alias("b")).distinct(), "k").where("a <> b")
 
 
+def content_fingerprint(df: DataFrame, key: str, text: str) -> DataFrame:
+    """fingerprint of all rows' keys and texts, whatever their order: n and two sums of 60 bits of each row's SHA-256.
+
+    A null key or text differs from an empty one, and repeated rows count.
+    """
+    row = F.sha2(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit("\t"), F.coalesce(F.concat(F.lit("="), F.col(text)), F.lit(""))), 256)
+    part = lambda at: F.coalesce(F.sum(F.conv(F.substring(row, at, 15), 16, 10).cast("decimal(20,0)")), F.lit(0)).cast("decimal(30,0)").cast("string")
+    return df.agg(F.concat_ws("-", F.count("*").cast("string"), part(1), part(16)).alias("fingerprint"))
+
+
 def round_trip(a: DataFrame, b: DataFrame) -> DataFrame:
     return differences(a, b).agg(F.count("*").alias("n_differences")).withColumn("n", F.lit(a.count()))
 

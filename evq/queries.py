@@ -200,6 +200,11 @@ def source_fingerprint(spark, d):
     return table(spark, d, "documents").agg(F.sum(F.length("text") * (F.col("doc_id") % 1000 + 1)).alias("fingerprint"))
 
 
+@query("SELECT concat_ws('-', count(*), coalesce(sum(CAST('0x' || substr(h, 1, 15) AS BIGINT)), 0), coalesce(sum(CAST('0x' || substr(h, 16, 15) AS BIGINT)), 0)) AS fingerprint FROM (SELECT sha256(coalesce(CAST(doc_id AS VARCHAR), '') || chr(9) || coalesce('=' || text, '')) AS h FROM documents)")
+def source_content_fingerprint(spark, d):
+    return Q.content_fingerprint(table(spark, d, "documents"), "doc_id", "text")
+
+
 @query("SELECT l_returnflag, l_linestatus, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS sum_qty, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS sum_price, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY l_returnflag, l_linestatus")
 def pricing_summary(spark, d):
     return table(spark, d, "lineitem").where(F.col("l_shipdate") <= F.expr("timestamp_ntz'1998-09-02'")).groupBy("l_returnflag", "l_linestatus").agg(F.sum(money("l_quantity")).cast("double").alias("sum_qty"), F.sum(money("l_extendedprice")).cast("double").alias("sum_price"), F.count("*").alias("n"))

@@ -1,10 +1,12 @@
 """Fixtures of the reference's kind: accept and reject tables, rules and adapters."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
 from evq import queries
-from evq.operators import entities, lexical, vectors
+from evq.operators import entities, lexical, quality, vectors
 from evq.plans import evaluate, grounding, routing
 from evq.plans.guard import Guard, masked, scan
 from evq.plans.service import HashEmbedder, Scripted, Service, parse_reply
@@ -88,6 +90,18 @@ def test_mentions_of_all_customers(spark):
     assert sorted(map(tuple, got)) == sorted(map(tuple, want))
 
 
+def test_content_fingerprint(spark):
+    def fingerprint(rows):
+        return quality.content_fingerprint(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "doc_id", "text").first()[0]
+
+    rows = [(1, "abc"), (2, "xyz"), (1001, "ü\n"), (3, None), (None, "")]
+    hashes = [hashlib.sha256(f"{'' if i is None else i}\t{'' if t is None else '=' + t}".encode()).hexdigest() for i, t in rows]
+    assert fingerprint(rows) == "-".join(map(str, (5, sum(int(h[:15], 16) for h in hashes), sum(int(h[15:30], 16) for h in hashes))))
+    assert fingerprint(rows[::-1]) == fingerprint(rows) and fingerprint([]) == "0-0-0"
+    others = [[(1, "abd"), *rows[1:]], [(1, "xyz"), (2, "abc"), *rows[2:]], [(1001, "abc"), (2, "xyz"), (1, "ü\n"), *rows[3:]], [*rows[:3], (3, ""), (None, "")], [*rows, rows[0]], rows[1:]]
+    assert len({fingerprint(r) for r in [rows, *others]}) == 7
+
+
 def test_grounding():
     assert grounding.validate("About 12.3% [performance].", ["performance"], [(0.1234,)]).valid
     assert not grounding.validate("About 12.4% [performance].", ["performance"], [(0.1234,)]).valid
