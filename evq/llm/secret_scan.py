@@ -88,15 +88,31 @@ def found(text: Column, pattern: str, kind: int, group: int = 0) -> Column:
 def scan(docs: DataFrame, table: list[float], limit: float = LIMIT) -> DataFrame:
     """docs with base (array of spans start, kind, end, token) and spans (base and the models', in order).
 
-    kind is a place in KINDS; spans are ordered by start, then kind. A null text has no spans. The models' spans lie
-    outside the base ones. Nothing is shuffled. Columns of docs called base or spans would be replaced.
+    kind is a place in KINDS; spans are ordered by start, then kind. A null text has no spans. The models' spans are
+    the parts of their tokens that lie outside the base ones. Nothing is shuffled. Columns of docs called base or spans would be replaced.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     assign = F.filter(found(text, ASSIGN, 0, 2), lambda s: F.length(s["token"]) >= ASSIGN_LEAST)
     out = docs.withColumn("base", F.array_sort(F.concat(assign, found(text, ACCESS, 1), found(text, HEX, 2))))
-    free = F.filter(found(text, TOKEN, 3), lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    more = F.filter(free, lambda s: ratio(s["token"], table) > limit)
-    return out.withColumn("spans", F.array_sort(F.concat("base", more)))
+    more = F.filter(found(text, TOKEN, 3), lambda s: ratio(s["token"], table) > limit)
+    return out.withColumn("spans", F.array_sort(F.concat("base", F.flatten(F.transform(more, lambda s: outside(s, F.col("base")))))))
+
+
+def outside(span: Column, base: Column) -> Column:
+    """The parts of a span that no base span covers; base is ordered by start."""
+    none = F.array().cast("array<struct<start:int,kind:int,end:int,token:string>>")
+
+    def part(start: Column, end: Column) -> Column:
+        text = F.substring(span["token"], start - span["start"] + 1, end - start)
+        return F.when(start < end, F.array(F.struct(start.alias("start"), span["kind"].alias("kind"), end.alias("end"), text.alias("token")))).otherwise(none)
+
+    touching = F.filter(base, lambda b: (b["start"] < span["end"]) & (span["start"] < b["end"]))
+    return F.aggregate(
+        touching,
+        F.struct(span["start"].alias("at"), none.alias("parts")),
+        lambda acc, b: F.struct(F.greatest(acc["at"], b["end"]).alias("at"), F.concat(acc["parts"], part(acc["at"], b["start"])).alias("parts")),
+        lambda acc: F.concat(acc["parts"], part(acc["at"], span["end"])),
+    )
 
 
 def listed(spans: Column) -> Column:

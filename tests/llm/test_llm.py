@@ -148,6 +148,21 @@ def test_secrets(spark, docs, odd):
     assert secret_scan.digest(empty(odd), secret_scan.train(secret_scan.samples(spark, empty(odd)))).count() == 0
 
 
+def test_secrets_around_base_spans(spark, docs):
+    table = secret_scan.train(secret_scan.samples(spark, docs))
+    a, b, h = "wJalrXUtnFEMIK7MDENG", "bPxRfiCYzQ9xK7MDENGZ", "0123456789abcdef"
+    key = f"𝔘 see {a}{h}Z{b} and {a}{h} or internationalisation_of_the_words_{h}"
+    texts = spark.createDataFrame([(1, key), (2, f"token={a}{b}"), (3, None)], "doc_id long, text string")
+    spans = {r["doc_id"]: r["spans"] for r in secret_scan.digest(texts, table).collect()}
+    at = 6
+    second = at + 57 + 5
+    first = f"markov:{at}:{at + 20},hex:{at + 20}:{at + 36},markov:{at + 36}:{at + 57},markov:{second}:{second + 20},hex:{second + 20}:{second + 36}"
+    assert spans[1].startswith(first + ",hex:") and spans[1].count(",") == 5
+    assert spans[2] == "assign:0:46" and spans[3] == ""
+    clean = {r["doc_id"]: r["text"] for r in secret_scan.redact(texts, table).collect()}
+    assert not any(x in clean[1] for x in (a, b, h)) and "internationalisation_of_the_words_[secret]" in clean[1] and clean[2] == "[secret]"
+
+
 def test_language(docs, odd):
     model = language_id.train(docs.where(~queries.held_out()))
     rows = language_id.identify(docs, model, keep=("lang",)).where(queries.held_out()).collect()
