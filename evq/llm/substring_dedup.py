@@ -64,6 +64,13 @@ def anchored(texts: DataFrame) -> DataFrame:
     return texts.select("mark", "text").mapInArrow(rows, "anchor long, mark long")
 
 
+def repeated_anchors(texts: DataFrame) -> DataFrame:
+    """mark, repeated: the distinct anchors of each text that another text has too, however many copies there are."""
+    same = Window.partitionBy("anchor")
+    several = anchored(texts).withColumn("a", F.min("mark").over(same)).withColumn("b", F.max("mark").over(same)).where("a < b")
+    return several.groupBy("mark").agg(F.collect_set("anchor").alias("repeated"))
+
+
 def segments_of(h: np.ndarray, repeated: np.ndarray) -> list[tuple[int, int, int]]:
     """anchor, start, windows of each stretch of windows with one anchor, where that anchor is repeated."""
     r, at = anchors(h)
@@ -155,9 +162,7 @@ def dedup(docs: DataFrame, shard_segments: int = SHARD_SEGMENTS) -> DataFrame:
     # equal texts are told by two hashes; the first one is the key of all joins, so the texts are shuffled once
     texts = texts.withColumn("mark", F.xxhash64("text")).withColumn("check", F.hash("text").cast("long"))
     firsts = texts.groupBy("mark", "check").agg(F.min("own").alias("first")).groupBy("mark").agg(F.collect_list(F.struct("check", "first")).alias("firsts"))
-    same = Window.partitionBy("anchor")
-    several = anchored(texts).withColumn("a", F.min("mark").over(same)).withColumn("b", F.max("mark").over(same)).where("a < b")
-    per_text = checkpointed(several.groupBy("mark").agg(F.collect_list("anchor").alias("repeated")))
+    per_text = checkpointed(repeated_anchors(texts))
     n = per_text.agg(F.sum(F.size("repeated"))).first()[0] or 0
     shards = max(1, n // shard_segments)
     laid = texts.join(firsts, "mark").withColumn("first", F.filter("firsts", lambda x: x["check"] == F.col("check"))[0]["first"]).drop("firsts")

@@ -310,6 +310,18 @@ def test_dedup(docs, segments):
     assert [got[i] for i, _ in rows] == brute_dedup(rows)
 
 
+def test_dedup_anchors_of_copies(spark):
+    text = " ".join(f"p{i}" for i in range(60))
+    rows = [(i, text) for i in range(40)] + [(40, text + " more"), (41, " ".join(f"q{i}" for i in range(60)))]
+    docs_ = spark.createDataFrame(rows, "doc_id long, text string")
+    got = substring_dedup.repeated_anchors(docs_.withColumn("mark", F.xxhash64("text"))).collect()
+    r, places = substring_dedup.anchors(substring_dedup.word_hashes(text))
+    want = sorted(np.unique(r[np.unique(places)]).view(np.int64).tolist())
+    assert len(got) == 2 and all(sorted(x["repeated"]) == want for x in got)
+    found = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.dedup(docs_).collect()}
+    assert [found[i] for i, _ in rows] == brute_dedup(rows)
+
+
 def test_dedup_odd(odd):
     rows = [(substring_dedup.NO_ID if r["doc_id"] is None else r["doc_id"], r["text"]) for r in odd.collect()]
     got = sorted((substring_dedup.NO_ID if r["doc_id"] is None else r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.dedup(odd).collect())
