@@ -77,6 +77,30 @@ STATEMENTS = {
     "SELECT ntile(4) OVER (ORDER BY amount) AS x FROM orders_view": "unauthorized_function",
     "SELECT hidden FROM orders_view": "unauthorized_column",
     "SELECT * FROM parquet.`/etc/passwd`": "unauthorized_table",
+    "SELECT java_method ('java.lang.System', 'getProperty', 'user.home') AS x FROM orders_view": "unauthorized_function",
+    "SELECT `java_method`('java.lang.System', 'getProperty', 'user.home') AS x FROM orders_view": "unauthorized_function",
+    "SELECT \"reflect\"('java.lang.System', 'getProperty', 'user.home') AS x FROM orders_view": "unauthorized_function",
+    "SELECT system.builtin.reflect('java.lang.System', 'getProperty', 'user.home') AS x FROM orders_view": "unauthorized_function",
+    "SELECT client FROM orders_view WHERE amount > (SELECT max(length(java_method ('java.lang.System', 'getProperty', 'user.home'))) FROM orders_view)": "unauthorized_function",
+    "SELECT current_user FROM orders_view": "unauthorized_function",
+    "SELECT session_user, client FROM orders_view": "unauthorized_function",
+    "SELECT TRANSFORM(client) USING 'cat' AS c FROM orders_view": "unauthorized_function",
+    "SELECT * FROM orders_view LATERAL VIEW explode (array(1)) e AS c": "unauthorized_function",
+    "SELECT id FROM range (5)": "unauthorized_table",
+    "SELECT client FROM default.orders_view": "unauthorized_table",
+    "SELECT typeof(client) AS t FROM orders_view": "unauthorized_function",
+    "SELECT CAST(client AS decimal(10,2)) AS c FROM orders_view": "ok",
+    "SELECT total(amount) AS t, iif(count(*) > 1, 'many', 'one') AS n FROM orders_view": "ok",
+    "SELECT strftime('%W', day) AS w FROM orders_view": "unsupported_format",
+    "SELECT client FROM orders_view WHERE deal_name LIKE 'x%'": "like_on_deal_name",
+    "SELECT client FROM orders_view WHERE lower(deal_name) LIKE 'x%'": "like_on_deal_name",
+    "SELECT client FROM orders_view WHERE deal_name = 'x' AND day LIKE '1%'": "ok",
+}
+SINGLE = {
+    "SELECT count(*) AS n FROM orders_view": "",
+    "SELECT count(*) AS n FROM orders_view a JOIN orders_view b ON a.client = b.client": "join_not_allowed",
+    "SELECT count(*) AS n FROM orders_view a, orders_view b": "join_not_allowed",
+    "SELECT count(*) AS n FROM orders_view WHERE client IN (SELECT client FROM more_view)": "join_not_allowed",
 }
 ANSWERS = {
     "The total is 1,234.5 [investments].": "",
@@ -103,22 +127,56 @@ def intent_questions(spark, d):
     return spark.createDataFrame([(q, routing.intent(q)) for q in INTENTS], "question string, intent string")
 
 
+def orders_view(spark, d):
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("client"), F.col("o_totalprice").alias("amount"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"), F.col("o_orderpriority").alias("deal_name"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
+
+
 def guard_verdicts(spark, d):
-    view = table(spark, d, "orders").select(F.col("o_custkey").alias("client"), F.col("o_totalprice").alias("amount"))
-    guard = Guard(spark, {"orders_view": view})
+    guard = Guard(spark, {"orders_view": orders_view(spark, d)})
     got = [(s, ",".join(sorted(v.issues)) or "ok") for s in STATEMENTS for v in [guard.validate(s)]]
     return spark.createDataFrame(got, "statement string, verdict string")
 
 
 def guard_execute(spark, d):
-    view = table(spark, d, "orders").select(F.col("o_custkey").alias("client"), F.col("o_totalprice").alias("amount"))
-    got = Guard(spark, {"orders_view": view}).execute("SELECT client, count(*) AS n FROM orders_view GROUP BY client ORDER BY n DESC, client")
+    got = Guard(spark, {"orders_view": orders_view(spark, d)}).execute("SELECT client, count(*) AS n FROM orders_view GROUP BY client ORDER BY n DESC, client")
     return spark.createDataFrame([(*r, got["truncated"]) for r in got["rows"]], "client long, n long, truncated boolean")
 
 
 def single_object(spark, d):
-    rows = [("SELECT count(*) FROM m", "m"), ("SELECT count(*) FROM m JOIN n USING (k)", "m,n")]
-    return spark.createDataFrame([(s, ",".join(single_object_issues(s, t.split(",")))) for s, t in rows], "statement string, issues string")
+    guard = Guard(spark, {"orders_view": orders_view(spark, d), "more_view": orders_view(spark, d)})
+    return spark.createDataFrame([(s, ",".join(single_object_issues(guard.validate(s)))) for s in SINGLE], "statement string, issues string")
+
+
+def guarded(statement: str):
+    """A query for what a statement gives behind the guard, without its cap."""
+
+    def run(spark, d):
+        verdict = Guard(spark, {"orders_view": orders_view(spark, d)}).validate(statement)
+        if not verdict.ok:
+            raise ValueError(f"{statement}: {verdict.issues}")
+        return verdict.df
+
+    return run
+
+
+DAY = "CAST(o_orderdate AS DATE)"
+#: Statements with functions of the accepted dialect, and DuckDB's way to say the same.
+DIALECT = {
+    "sql_total": ("SELECT client, total(round(amount)) AS t, total(round(amount)) FILTER (WHERE amount < 0) AS none FROM orders_view GROUP BY client", "SELECT o_custkey AS client, sum(round(o_totalprice)) AS t, 0.0::DOUBLE AS none FROM orders GROUP BY 1"),
+    "sql_iif": ("SELECT id, iif(amount > 100000, 'big', ifnull(nullif(status, 'O'), 'open')) AS size FROM orders_view", "SELECT o_orderkey AS id, CASE WHEN o_totalprice > 100000 THEN 'big' WHEN o_orderstatus = 'O' THEN 'open' ELSE o_orderstatus END AS size FROM orders"),
+    "sql_strftime": ("SELECT strftime('%Y-%m', day) AS month, strftime('%d.%m.%Y %H', day, '+1 day') AS next, count(*) AS n FROM orders_view GROUP BY 1, 2", f"SELECT strftime({DAY}, '%Y-%m') AS month, strftime({DAY} + INTERVAL 1 DAY, '%d.%m.%Y %H') AS next, count(*) AS n FROM orders GROUP BY 1, 2"),
+    "sql_date": (
+        "SELECT id, date(day, '-90 days') AS back, date(day, '+1 month') AS on_, date(day, 'start of month', '-1 day') AS before FROM orders_view",
+        f"SELECT o_orderkey AS id, strftime({DAY} - INTERVAL 90 DAY, '%Y-%m-%d') AS back, strftime(date_trunc('month', {DAY}) + INTERVAL 1 MONTH + INTERVAL (day({DAY}) - 1) DAY, '%Y-%m-%d') AS on_, strftime(date_trunc('month', {DAY}) - INTERVAL 1 DAY, '%Y-%m-%d') AS before FROM orders",
+    ),
+    "sql_group_concat": ("SELECT client, group_concat(DISTINCT status) AS every, group_concat(status, ';') FILTER (WHERE status = 'F') AS f FROM orders_view GROUP BY client", "SELECT o_custkey AS client, string_agg(DISTINCT o_orderstatus, ',' ORDER BY o_orderstatus) AS every, string_agg(o_orderstatus, ';') FILTER (WHERE o_orderstatus = 'F') AS f FROM orders GROUP BY 1"),
+    "sql_glob": ("SELECT id, priority GLOB '[1-3]-*' AS high, glob('?-LOW', priority) AS low, status LIKE 'f' AS f FROM orders_view", "SELECT o_orderkey AS id, o_orderpriority GLOB '[1-3]-*' AS high, o_orderpriority GLOB '?-LOW' AS low, lower(o_orderstatus) = 'f' AS f FROM orders"),
+    "sql_division": ("SELECT id, id / 7 AS whole, (id + 1) / 2 * 3 AS chain, amount / 4 AS real, id / 0 AS none, id % 7 AS rest FROM orders_view", "SELECT o_orderkey AS id, (o_orderkey // 7)::DOUBLE AS whole, ((o_orderkey + 1) // 2)::DOUBLE * 3 AS chain, o_totalprice / 4 AS real, NULL::DOUBLE AS none, o_orderkey % 7 AS rest FROM orders"),
+    "sql_text": ("SELECT id, substr(priority, 0, 3) AS a, substr(priority, -3, 2) AS b, substring(priority, 3) AS c, trim(priority, '1W') AS d, ltrim(priority, '12345-') AS e, instr(priority, '-') AS f, upper(lower(status)) AS g, length(priority) AS h FROM orders_view",
+                 "SELECT o_orderkey AS id, substr(o_orderpriority, 1, 2) AS a, substr(right(o_orderpriority, 3), 1, 2) AS b, substr(o_orderpriority, 3) AS c, trim(o_orderpriority, '1W') AS d, ltrim(o_orderpriority, '12345-') AS e, CAST(instr(o_orderpriority, '-') AS INT) AS f, o_orderstatus AS g, CAST(length(o_orderpriority) AS INT) AS h FROM orders"),
+    "sql_extremes": ("SELECT id, max(id, client) AS high, min(id, client, 100) AS low, max(id, nullif(client, client)) AS none, round(amount, 1) AS r, abs(-id) AS p, coalesce(nullif(status, 'F'), '-') AS s FROM orders_view", "SELECT o_orderkey AS id, greatest(o_orderkey, o_custkey) AS high, least(o_orderkey, o_custkey, 100) AS low, NULL::BIGINT AS none, round(o_totalprice, 1) AS r, o_orderkey AS p, CASE WHEN o_orderstatus = 'F' THEN '-' ELSE o_orderstatus END AS s FROM orders"),
+    "sql_average": ("SELECT client, avg(id) AS a, count(DISTINCT status) AS n FROM orders_view GROUP BY client", "SELECT o_custkey AS client, avg(o_orderkey) AS a, count(DISTINCT o_orderstatus) AS n FROM orders GROUP BY 1"),
+}
 
 
 def number_grounding(spark, d):
@@ -152,7 +210,8 @@ QUERIES = {
     "intent_questions": (intent_questions, values(INTENTS, "question", "intent")),
     "guard_verdicts": (guard_verdicts, values(STATEMENTS, "statement", "verdict")),
     "guard_execute": (guard_execute, "SELECT o_custkey AS client, count(*) AS n, true AS truncated FROM orders GROUP BY 1 ORDER BY n DESC, client LIMIT 50"),
-    "single_object": (single_object, values({"SELECT count(*) FROM m": "", "SELECT count(*) FROM m JOIN n USING (k)": "join_not_allowed"}, "statement", "issues")),
+    "single_object": (single_object, values(SINGLE, "statement", "issues")),
     "number_grounding": (number_grounding, values(ANSWERS, "answer", "reasons")),
     "term_audit": (term_audit, "SELECT 'hedging,costs' AS kept, 'what,did,say,about,in,the,last,meeting' AS left_out"),
 }
+QUERIES |= {name: (guarded(statement), sql) for name, (statement, sql) in DIALECT.items()}

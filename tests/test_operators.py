@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evq import queries
 from evq.operators import entities, lexical, quality, vectors
-from evq.plans import evaluate, grounding, routing
+from evq.plans import dialect, evaluate, grounding, routing
 from evq.plans.guard import Guard, masked, scan
 from evq.plans.service import HashEmbedder, Scripted, Service, parse_reply
 from evq.sources import build, tables
@@ -50,6 +50,29 @@ def test_guard(spark):
     assert len(got["rows"]) == 50 and got["truncated"]
     assert guard.validate("SELECT hidden FROM v").issues == ["unauthorized_column"]
     assert guard.execute("INSERT INTO v SELECT 1")["outcome"] == "rejected"
+    assert spark.catalog.listTables("global_temp") == []
+    assert guard.execute("SELECT count(*) AS n FROM v WHERE 'it''s \\' = 'it''s \\'")["rows"] == [(100,)]
+
+
+@pytest.mark.parametrize("call", ["java_method{}", "reflect{}", "`java_method`{}", '"reflect"{}', "JAVA_METHOD{}", "system.builtin.java_method{}", "`system`.`builtin`.`reflect`{}", "builtin.reflect{}", "try_reflect{}"])
+@pytest.mark.parametrize("space", ["", " ", "\n\t"])
+@pytest.mark.parametrize("place", ["SELECT {} AS x FROM v", "SELECT id FROM v WHERE {} = 'x'", "SELECT id FROM v ORDER BY {}", "SELECT (SELECT max({}) FROM v) AS x", "WITH t AS (SELECT {} AS x) SELECT x FROM t", "SELECT id FROM v WHERE EXISTS (SELECT 1 FROM v WHERE {} = 'x')", "SELECT CAST({} AS string) AS x FROM v", "SELECT CASE WHEN {} = 'x' THEN 1 END AS x FROM v"])
+def test_no_spelling_calls_the_jvm(guard, call, space, place):
+    statement = place.format(call.format(f"{space}('java.lang.System', 'getProperty', 'user.home')"))
+    assert guard.validate(statement).issues, statement
+
+
+@pytest.fixture(scope="module")
+def guard(spark):
+    return Guard(spark, {"v": spark.range(10)})
+
+
+def test_dialect():
+    assert dialect.translated("SELECT a.*, count(*) FROM v a") == "SELECT a.* , count(*) FROM v a"
+    assert dialect.calls(dialect.tokens("SELECT `f` (1), CAST(g(x) AS decimal(1, 2)) FROM v WHERE x IN (1)")) == {"f", "g"}
+    assert dialect.common_names(dialect.tokens("WITH a AS (SELECT 1), b (k) AS (SELECT 2) SELECT 1")) == {"a", "b"}
+    with pytest.raises(dialect.Unsupported):
+        dialect.tokens("SELECT (1")
 
 
 def test_phrases_and_snippets(spark):
