@@ -18,15 +18,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import checkpointed, word_count
+from .common import BROADCAST_BYTES, checkpointed, discard, word_count
 
 MAX_REPEATS = 3
 #: Relative weights of the sources in code-point order, repeated as needed.
 CYCLE = (5, 2, 1)
 #: Rows of the catalogue of patterns that the driver accepts: it grows with the kinds of document, not with their number.
 MAX_PATTERNS = 200_000
-#: Buckets of the seeded order in each pattern: offsets are summed over buckets first and inside a bucket after.
-BUCKETS = 4096
+#: Documents (expected) of a bucket: the seeded order of a pattern is cut into buckets, offsets are summed over buckets
+#: first and inside a bucket after.
+BUCKET_DOCS = 4000
+#: Rows that the parts of a hot pattern's documents are spread over where the catalogue is too large to be broadcast.
+SALTS = 64
 
 
 def targets(total: int, sizes: Sequence[int], weights: Sequence[int], max_repeats: int = MAX_REPEATS) -> list[tuple[int, int]]:
@@ -125,13 +128,16 @@ class Plan:
     _id, _size, _key, _place), spec (a tuple for each pattern and source), flows and capacity by pattern."""
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, sources: str, seed: int, weights: Sequence[int], max_repeats: int):
-        size = word_count(F.col(f"`{text_col}`"))
-        rows = docs.select(F.col(f"`{id_col}`").alias("_id"), size.alias("_size"), pattern_of(docs, sources).alias("_key"))
-        self.rows = checkpointed(rows.withColumn("_place", place_of(seed, F.col("_id"), F.col("_size"))))
-        counted = self.rows.groupBy("_key").agg(F.sum("_size").alias("n")).limit(MAX_PATTERNS + 1).collect()
+        self.spark = docs.sparkSession
+        size, text = word_count(F.col(f"`{text_col}`")), F.col(f"`{text_col}`")
+        rows = docs.select(F.col(f"`{id_col}`").alias("_id"), size.alias("_size"), pattern_of(docs, sources).alias("_key"), place_of(seed, F.col(f"`{id_col}`"), text).alias("_place"))
+        self.rows = checkpointed(rows)
+        counted = self.rows.groupBy("_key").agg(F.sum("_size").alias("n"), F.count("*").alias("docs")).limit(MAX_PATTERNS + 1).collect()
         if len(counted) > MAX_PATTERNS:
             raise ValueError(f"more than {MAX_PATTERNS} membership patterns: not a catalogue of sources")
         patterns = sorted((r["_key"], json.loads(r["_key"]), int(r["n"])) for r in counted)
+        #: Bits of a place that tell its bucket: as many as the largest pattern needs.
+        self.bits = max((r["docs"] // BUCKET_DOCS for r in counted), default=0).bit_length()
         names = sorted({s for _, p, _ in patterns for s in p}, key=lambda s: (s is None, s or ""))
         at = {s: i for i, s in enumerate(names)}
         members = [[at[s] for s in p] for _, p, _ in patterns]
@@ -151,10 +157,23 @@ class Plan:
                 start += f.get(s, 0)
             self.flows[k] = start
 
+    def told(self, rows: DataFrame, catalogue: Sequence[tuple], ddl: str) -> DataFrame:
+        """rows with what a catalogue by _key says: broadcast, so a source of a third of all documents is no task of
+        its own; if its size on the driver forbids that, joined in SALTS parts of each pattern."""
+        table = self.spark.createDataFrame(catalogue, f"_key string, {ddl}")
+        if sum(len(str(c)) + 16 for row in catalogue for c in row) <= BROADCAST_BYTES:
+            return rows.join(F.broadcast(table), "_key")
+        salted = table.withColumn("_salt", F.explode(F.array(*(F.lit(i).cast("long") for i in range(SALTS)))))
+        return rows.withColumn("_salt", F.pmod("_place", F.lit(SALTS))).join(salted, ["_key", "_salt"]).drop("_salt")
+
+    def bucket(self):
+        """The first bits of a place, as a number from 0: buckets are in the order of places."""
+        return F.shiftrightunsigned(F.col("_place").bitwiseXOR(F.lit(-(1 << 63))), 63 - self.bits) if self.bits else F.lit(0).cast("long")
+
     def placed(self) -> DataFrame:
         """rows with _a, the words before the document in the seeded order of its pattern: sums over buckets, then
-        inside each bucket."""
-        rows = self.rows.withColumn("_bucket", F.pmod(F.shiftright("_place", 20), F.lit(BUCKETS)))
+        inside each bucket. Rows with equal places follow each other in any order."""
+        rows = self.rows.withColumn("_bucket", self.bucket())
         before = Window.partitionBy("_key").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
         heads = rows.groupBy("_key", "_bucket").agg(F.sum("_size").alias("_words")).select("_key", "_bucket", F.coalesce(F.sum("_words").over(before), F.lit(0)).alias("_head"))
         inside = Window.partitionBy("_key", "_bucket").orderBy("_place", "_id", "_size").rowsBetween(Window.unboundedPreceding, -1)
@@ -171,8 +190,9 @@ def pattern_of(docs: DataFrame, sources: str):
     return F.to_json(column, {"ignoreNullFields": "false"})
 
 
-def place_of(seed: int, doc_id, size):
-    return F.xxhash64(F.lit(seed), doc_id, size)
+def place_of(seed: int, doc_id, text):
+    """A document's place in the seeded order, by its id and text: rows of one id are apart unless they are equal."""
+    return F.xxhash64(F.lit(seed), doc_id, text)
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sources: str = "source", seed: int = 17, weights: Sequence[int] = CYCLE, max_repeats: int = MAX_REPEATS) -> DataFrame:
@@ -182,12 +202,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sources
     document may serve any of them; an empty or null array is the one source null). Returns a row per document and
     source it may serve: id_col, size (words; 0 for null text), source, source_size, target, taken, doc_taken.
     Null ids are kept; rows with equal ids are documents of their own. An empty table gives no rows. Columns of docs
-    other than those named, whatever their names, are not read.
+    other than those named, whatever their names, are not read. More than MAX_PATTERNS patterns are an error.
     """
     plan = Plan(docs, id_col, text_col, sources, seed, weights, max_repeats)
-    spark = docs.sparkSession
-    tape = spark.createDataFrame(plan.spec, "_key string, source string, source_size long, target double, _cap long, _from long, _to long")
-    flow = spark.createDataFrame(list(plan.flows.items()), "_key string, _flow long")
 
     def until(x):
         """Words of the tape up to x that fall on the document, which is at _a of _cap."""
@@ -195,7 +212,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sources
         part = F.greatest(F.lit(0), F.least(F.col("_size"), F.pmod(x, cap) - F.col("_a")))
         return F.when(F.col("_cap") > 0, F.floor(x / cap) * F.col("_size") + part).otherwise(0).cast("long")
 
-    out = plan.placed().join(tape.join(flow, "_key"), "_key").withColumn("taken", until(F.col("_to")) - until(F.col("_from"))).withColumn("doc_taken", until(F.col("_flow")))
+    tape = [(*row, plan.flows[row[0]]) for row in plan.spec]
+    out = plan.told(plan.placed(), tape, "source string, source_size long, target double, _cap long, _from long, _to long, _flow long")
+    out = out.withColumn("taken", until(F.col("_to")) - until(F.col("_from"))).withColumn("doc_taken", until(F.col("_flow")))
     return out.select(F.col("_id").alias(id_col), F.col("_size").alias("size"), "source", "source_size", "target", "taken", "doc_taken")
 
 
@@ -203,17 +222,33 @@ def blend(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     """docs as the mix takes them, in whole documents: each repeated as often as the tape passes its middle.
 
     A pattern's full passes take every document, the last pass those up to a place in the seeded order. So only the
-    passes and that place, one row a pattern, are joined to the documents, which aren't shuffled. Columns are those of
-    docs.
+    passes and that place, one row a pattern, are joined to the documents, which aren't shuffled. Of rows repeated in
+    full at that place as many are taken as the tape passes. Columns are those of docs. Null ids, texts and sources
+    are kept as mix() does; an empty table gives no rows.
     """
     plan = Plan(docs, id_col, text_col, sources, seed, weights, max_repeats)
     spec = [(k, f // plan.capacity[k] if plan.capacity[k] else 0, f % plan.capacity[k] if plan.capacity[k] else 0) for k, f in plan.flows.items()]
-    passes = docs.sparkSession.createDataFrame(spec, "_key string, _full long, _rest long")
-    last = plan.placed().join(passes, "_key").where("_a + _size / 2.0 <= _rest and _rest > 0").groupBy("_key").agg(F.max(F.struct(F.pmod(F.shiftright("_place", 20), F.lit(BUCKETS)).alias("b"), "_place")).alias("_last"))
-    until = checkpointed(passes.join(last, "_key", "left").select("_key", "_full", "_last"))
+    reached = plan.told(plan.placed(), [(k, rest) for k, _, rest in spec], "_rest long").where("_rest > 0 and _a + _size / 2.0 <= _rest")
+    last = {r["_key"]: r["_last"] for r in reached.groupBy("_key").agg(F.max(F.struct("_place", (-F.col("_a")).alias("minus"), "_size")).alias("_last")).collect()}
+    edges = [(k, last[k]["_place"]) for k in last]
+    there = {r["_key"]: r["n"] for r in plan.told(plan.rows, edges, "_edge long").where("_place = _edge").groupBy("_key").agg(F.count("*").alias("n")).collect()} if edges else {}
+
+    def passed(k: str, rest: int) -> int:
+        """How many of the rows at the last place the tape passes."""
+        a, size = -last[k]["minus"], last[k]["_size"]
+        return there[k] if not size else min(there[k], int((rest - a - size / 2) // size) + 1)
+
+    catalogue = [(k, full, last[k]["_place"], passed(k, rest), there[k]) if k in last else (k, full, None, 0, 0) for k, full, rest in spec]
     whole_row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")  # whatever its columns are called
-    own = docs.select(whole_row, pattern_of(docs, sources).alias("_key"), place_of(seed, F.col(f"`{id_col}`"), word_count(F.col(f"`{text_col}`"))).alias("_place"))
-    own = own.withColumn("_at", F.struct(F.pmod(F.shiftright("_place", 20), F.lit(BUCKETS)).alias("b"), "_place"))
-    own = own.join(F.broadcast(until) if len(spec) <= 10_000 else until, "_key")
-    times = F.col("_full") + F.coalesce(F.col("_at") <= F.col("_last"), F.lit(False)).cast("long")
-    return own.withColumn("_times", times).where("_times > 0").withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select("_row.*")
+    own = docs.select(whole_row, pattern_of(docs, sources).alias("_key"), place_of(seed, F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("_place"))
+    own = plan.told(own, catalogue, "_full long, _edge long, _passed long, _there long")
+    before = F.coalesce(F.col("_place") <= F.col("_edge"), F.lit(False))
+    parted = F.coalesce((F.col("_place") == F.col("_edge")) & (F.col("_passed") < F.col("_there")), F.lit(False))
+    if any(row[3] < row[4] for row in catalogue):  # equal rows of one id, of which a part is taken
+        number = F.row_number().over(Window.partitionBy("_key").orderBy("_place"))
+        edge = own.where(parted).withColumn("_times", F.col("_full") + (number <= F.col("_passed")).cast("long"))
+        own = own.where(~parted).withColumn("_times", F.col("_full") + before.cast("long")).unionByName(edge)
+    else:
+        own = own.withColumn("_times", F.col("_full") + before.cast("long"))
+    discard(plan.rows)  # what is left to compute reads the documents and the catalogue only
+    return own.where("_times > 0").withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select("_row.*")
