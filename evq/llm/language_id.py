@@ -2,8 +2,8 @@
 
 Each language has a codeword of +1/-1 bits. One linear logistic classifier per bit works on hashed character n-grams;
 decoding adds up the logistic losses of all bits for each codeword and takes the least. The classifiers are fitted on
-the driver from a bounded sample (PER_LANGUAGE rows expected of each language); everything else is one pass in which
-each text is scored by itself.
+the driver from a bounded sample (at most PER_LANGUAGE rows of each language and MAX_ROWS in all); everything else is
+one pass in which each text is scored by itself.
 """
 
 from __future__ import annotations
@@ -15,15 +15,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import give_back
 
-#: Expected number of training rows of each language, and hashed features.
-PER_LANGUAGE, FEATURES = 500, 2048
+#: Training rows: the most of each language and of all, and hashed features.
+PER_LANGUAGE, MAX_ROWS, FEATURES = 500, 50_000, 2048
 #: Below this gap between the two best languages' shares a document is ambiguous.
 AMBIGUOUS = 0.2
-#: Kinds of language label the driver accepts.
-MAX_LANGUAGES = 500
+#: Kinds of language label that train() accepts; more are an error, never left out.
+MAX_LANGUAGES = 5000
 UNKNOWN = "und"
 
 _LETTERS: np.ndarray | None = None
@@ -112,27 +113,44 @@ def fit(x: np.ndarray, y: np.ndarray, languages: list[str], rounds: int = 150, r
     return Model(languages, code, w, b)
 
 
-def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = PER_LANGUAGE) -> Model | None:
-    """A model from about per_language rows of each language, chosen by a hash of the id; None without usable rows."""
-    rows = labelled.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{lang_col}`").alias("l"), F.col(f"`{text_col}`").alias("t")).where("l is not null and t is not null")
-    counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(MAX_LANGUAGES).collect()}
+def sampled(rows: DataFrame, counts: dict[str, int], per_language: int) -> DataFrame:
+    """l, t: at most per_language different texts of each language l, those with the least hashes.
+
+    Hashes are of the text, so repeated rows, equal ids and null ids are drawn like any others. A threshold on the
+    hash leaves few more rows than wanted before they are counted off.
+    """
+    spark = rows.sparkSession
+    share = spark.createDataFrame([(k, min(1.0, 2.0 * per_language / n)) for k, n in counts.items()], "l string, share double")
+    drawn = rows.select("l", "t", F.xxhash64("t").alias("h")).join(F.broadcast(share), "l").where(F.pmod("h", F.lit(1 << 30)) < F.col("share") * (1 << 30))
+    each = drawn.groupBy("l", "h").agg(F.min("t").alias("t"))
+    place = F.row_number().over(Window.partitionBy("l").orderBy(F.pmod("h", F.lit(1 << 30)), "h"))
+    return each.withColumn("place", place).where(F.col("place") <= per_language).select("l", "t")
+
+
+def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, max_rows: int = MAX_ROWS, max_languages: int = MAX_LANGUAGES) -> Model | None:
+    """A model of all languages from at most per_language texts of each and max_rows in all; None without usable rows.
+
+    Rows with a null text or language don't count. More than max_languages languages are an error.
+    """
+    rows = labelled.select(F.col(f"`{lang_col}`").alias("l"), F.col(f"`{text_col}`").alias("t")).where("l is not null and t is not null")
+    counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).limit(max_languages + 1).collect()}
+    if len(counts) > max_languages:
+        raise ValueError(f"more than {max_languages} languages: {lang_col} is no list of languages")
     if not counts:
         return None
-    spark = labelled.sparkSession
-    share = spark.createDataFrame([(k, per_language / n) for k, n in counts.items()], "l string, share double")
-    sample = rows.join(F.broadcast(share), "l").where(F.pmod(F.xxhash64("i"), F.lit(1 << 30)) < F.col("share") * (1 << 30))
+    sample = sampled(rows, counts, max(1, min(per_language, max_rows // len(counts))))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [(lang, x) for lang, x in zip(b.column(0).to_pylist(), map(grams, b.column(1).to_pylist())) if x is not None]
             yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1].astype(np.float32).tobytes() for g in got], pa.binary())], ["l", "x"])
 
-    got = sorted((r["l"], bytes(r["x"])) for r in sample.select("l", "t").mapInArrow(features, "l string, x binary").collect())
+    got = sorted((r["l"], bytes(r["x"])) for r in sample.mapInArrow(features, "l string, x binary").collect())
     if not got:
         return None
     languages = sorted({g[0] for g in got})
-    y = np.array([languages.index(g[0]) for g in got])
-    return fit(np.stack([np.frombuffer(g[1], np.float32) for g in got]), y, languages)
+    at = {lang: i for i, lang in enumerate(languages)}
+    return fit(np.stack([np.frombuffer(g[1], np.float32) for g in got]), np.array([at[g[0]] for g in got]), languages)
 
 
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
