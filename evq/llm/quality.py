@@ -1,7 +1,7 @@
 """Quality rules: boosted trees over document statistics.
 
 One pass over the texts gives each document's statistics; the trees are grown on the driver from a bounded sample of
-labelled rows (MAX_ROWS expected) and flattened into numpy arrays, by which batches are scored. On chosen features
+labelled rows (MAX_ROWS at most) and flattened into numpy arrays, by which batches are scored. On chosen features
 the score may only fall (or only rise) as the feature grows.
 """
 
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, words
 
-#: Expected number of labelled rows that the trees are grown on.
+#: The most labelled rows that the trees are grown on.
 MAX_ROWS = 20_000
 MIN_WORDS, REPEATED_PERCENT = 50, 50
 #: A document is kept if its probability of being good is at least this.
@@ -163,15 +163,17 @@ def measure(docs: DataFrame) -> DataFrame:
 
 
 def train(measured: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Trees | None:
-    """Trees from about max_rows labelled documents, chosen by a hash of the id; None unless both outcomes occur.
+    """Trees from at most max_rows labelled documents, those with the least hashes; None unless both outcomes occur.
 
-    Labels with null quality or id don't count; of a document labelled more than once each label counts.
+    Labels with null quality or id don't count; of an id labelled more than once each different label counts. Equal
+    documents (in id, label and statistics) are one, so repeated rows and ids don't add up on the driver.
     """
-    labels = labels.where("doc_id is not null and quality is not null").select("doc_id", "quality")
+    labels = labels.where("doc_id is not null and quality is not null").select("doc_id", "quality").distinct()
     n = labels.count()
-    if n > max_rows:
-        labels = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < (1 << 30) * (max_rows / n))
-    got = sorted((r["doc_id"], float(r["quality"]), r["features"]) for r in measured.select("doc_id", "features").join(labels, "doc_id").collect())
+    if n > 2 * max_rows:  # a threshold first, so that few more rows than wanted are counted off
+        labels = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < (1 << 30) * (2 * max_rows / n))
+    rows = measured.select("doc_id", "features").join(labels, "doc_id").withColumn("h", F.xxhash64("doc_id", "quality", "features")).dropDuplicates(["doc_id", "quality", "h"])
+    got = sorted((r["doc_id"], float(r["quality"]), r["features"]) for r in rows.orderBy("h", "doc_id").limit(max_rows).collect())
     y = np.array([g[1] for g in got])
     if len(set(y.tolist())) < 2:
         return None
