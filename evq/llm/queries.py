@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import html_extract, language_id, mixing, ngram_join, packing, quality, secret_scan, simhash, substring_dedup, url_filter
 from .common import table
+from .oracles import ORACLES  # noqa: F401
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -46,7 +47,8 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.fingerprints(table(spark, sf_dir, "documents"))
+    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_equal", "n_near"]
+    return simhash.fingerprinted(table(spark, sf_dir, "documents")).select(*names)
 
 
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,5 +75,24 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, page_outcomes(pages, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_packing, op3_secrets, op4_language, op5_quality, op6_simhash, op7_jaccard, op8_html, op9_substrings, op10_urls)}
-ORACLES: dict[str, str] = {}
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op1_mixing what SQL can say."""
+    return op1_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))
+
+
+def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op3_secrets what SQL can say."""
+    return op3_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op5_quality what SQL can say."""
+    return op5_quality(spark, sf_dir).drop("kept", "score")
+
+
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op6_simhash what SQL can say."""
+    return simhash.fingerprints(table(spark, sf_dir, "documents")).select("doc_id", "n_chars", "edited_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_packing, op3_secrets, op4_language, op5_quality, op6_simhash, op7_jaccard, op8_html, op9_substrings, op10_urls, mixing_targets, secret_counts, quality_counts, edited_texts)}

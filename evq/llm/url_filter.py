@@ -2,9 +2,9 @@
 
 Labelled page outcomes are counted by host. A host's rate of bad pages is shrunk towards its registered domain's, a
 domain's towards its suffix's and a suffix's towards the overall rate, each through a beta-binomial prior whose
-strength is fitted to that level's counts by moments. A page is blocked if the lower posterior bound of its host's
-bad rate is above a limit, unless a rule decides. A host without labelled pages has the bound of the nearest level
-above it that has some.
+strength is fitted to that level's counts by moments. A page is blocked if its host's bad rate is credibly above the
+overall rate: the lower posterior bound exceeds LIFT times that rate, unless a rule decides. A host without labelled
+pages has the bound of the nearest level above it that has some.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import BROADCAST_BYTES, checkpointed
 
 #: Rules of the query: host, start of the path, verdict.
 RULES = (
@@ -24,10 +24,15 @@ RULES = (
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 )
-#: A host is blocked where, with this many standard deviations to spare, more than this share of its pages is bad.
-LIMIT, DEVIATIONS = 0.3, 1.645
+#: A host is blocked where, with this many standard deviations to spare (a one-sided 95 %), its rate of bad pages is above
+#: this many times the overall rate. The limit moves with the labels: what share of pages is called bad is theirs to say.
+LIFT, DEVIATIONS = 1.0, 1.645
 #: Prior strengths lie between these numbers of pages.
 WEAKEST, STRONGEST = 2.0, 200.0
+#: Suffixes of two labels under which domains are registered. A parameter: pass a longer list at will.
+SUFFIXES = ("ac.uk", "co.uk", "gov.uk", "org.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp", "ne.jp", "or.jp", "com.br", "com.cn", "com.mx", "com.tr", "co.in", "co.kr", "co.za")
+#: Entries of the suffix level that are broadcast; more are joined by an exchange.
+MOST_SUFFIXES = BROADCAST_BYTES // 256
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -42,13 +47,26 @@ def path_of(url):
     return F.coalesce(F.regexp_extract(url, r"(?s)\A.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def domain_of(host):
-    """The last two labels; an address of digits and dots is its own domain."""
-    return F.when(host.rlike(r"\A[0-9.:\[\]]*\z"), host).otherwise(F.substring_index(host, ".", -2))
+NUMERIC, PORT = r"\A[0-9.:\[\]]*\z", r":[0-9]*\z"
 
 
-def suffix_of(host):
-    return F.when(host.rlike(r"\A[0-9.:\[\]]*\z"), F.lit("")).otherwise(F.substring_index(host, ".", -1))
+def named(host):
+    """The host without its port."""
+    return F.regexp_replace(host, PORT, "")
+
+
+def suffix_of(host, suffixes: Sequence[str] = SUFFIXES):
+    """The last label, or the last two if they are one of suffixes; an address of digits has the suffix empty."""
+    name = named(host)
+    two = F.substring_index(name, ".", -2)
+    return F.when(host.rlike(NUMERIC), F.lit("")).when(two.isin(list(suffixes)), two).otherwise(F.substring_index(name, ".", -1))
+
+
+def domain_of(host, suffixes: Sequence[str] = SUFFIXES):
+    """The registered domain: the suffix and one label more; an address of digits and dots is its own domain."""
+    name = named(host)
+    two = F.substring_index(name, ".", -2)
+    return F.when(host.rlike(NUMERIC), name).when(two.isin(list(suffixes)), F.substring_index(name, ".", -3)).otherwise(two)
 
 
 def rule_for(host, path, rules: Sequence[tuple[str, str, str]] = RULES):
@@ -77,24 +95,29 @@ def strength(level: DataFrame, parent: str) -> float:
     return min(STRONGEST, max(WEAKEST, 1 / rho - 1)) if rho > 0 else STRONGEST
 
 
-def levels(outcomes: DataFrame) -> tuple[dict[str, DataFrame], dict[str, float], tuple[float, float]]:
-    """By level (suffix, domain, host): its units with n, k and their posterior's a, b; the strength of its prior. Last, a and b of all pages.
+def levels(outcomes: DataFrame, suffixes: Sequence[str] = SUFFIXES) -> tuple[dict[str, DataFrame], dict[str, float], tuple[float, float], int]:
+    """By level (suffix, domain, host): its units with n, k and their posterior's a, b; the strength of its prior. Then a and b of all pages, and about how many suffixes there are.
 
-    outcomes: host, bad (0 or 1; null rows don't count). One row a host or less is shuffled at each level.
+    outcomes: host, bad (0 or 1; null rows don't count). One row a host or less is shuffled at each level. The suffix
+    level is broadcast if its size allows, so a suffix of a third of all hosts is no task of its own.
     """
     hosts = checkpointed(outcomes.where("host is not null and bad is not null").groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").alias("k"))
-                         .withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))}))
-    top = hosts.agg(F.sum("n").alias("n"), F.sum("k").alias("k")).first()
+                         .withColumns({"domain": domain_of(F.col("host"), suffixes), "suffix": suffix_of(F.col("host"), suffixes)}))
+    top = hosts.agg(F.sum("n").alias("n"), F.sum("k").alias("k"), F.approx_count_distinct("suffix").alias("s")).first()
     a, b = (top["k"] or 0) + 0.5, (top["n"] or 0) - (top["k"] or 0) + 0.5
     chain, found, strengths = None, {}, {}
-    for unit in ("suffix", "domain", "host"):
-        level = hosts.groupBy(*dict.fromkeys(["suffix", "domain", "host"][: ["suffix", "domain", "host"].index(unit) + 1])).agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-        level = level.withColumn("m", F.lit(a / (a + b))) if chain is None else level.join(chain, [c for c in ("suffix", "domain") if c in chain.columns])
+    for unit, keys in (("suffix", ["suffix"]), ("domain", ["suffix", "domain"]), ("host", ["suffix", "domain", "host"])):
+        level = hosts.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+        level = level.withColumn("m", F.lit(a / (a + b))) if chain is None else level.join(few(chain, top["s"]) if unit == "domain" else chain, keys[:-1])
         s = strengths[unit] = strength(level, "m")
         found[unit] = level = level.withColumns({"a": F.col("m") * s + F.col("k"), "b": (1 - F.col("m")) * s + F.col("n") - F.col("k")})
-        keys = [c for c in ("suffix", "domain") if c in level.columns]
         chain = level.select(*keys, (F.col("a") / (F.col("a") + F.col("b"))).alias("m"))
-    return found, strengths, (a, b)
+    return found, strengths, (a, b), top["s"]
+
+
+def few(level: DataFrame, n: int) -> DataFrame:
+    """A level of about n units, to be broadcast if they are few."""
+    return F.broadcast(level) if n < MOST_SUFFIXES else level
 
 
 def reputation(outcomes: DataFrame) -> DataFrame:
@@ -102,41 +125,44 @@ def reputation(outcomes: DataFrame) -> DataFrame:
     return levels(outcomes)[0]["host"].select("host", "n", "k", "a", "b")
 
 
-def lower_bounds(hosts: DataFrame, outcomes: DataFrame, deviations: float = DEVIATIONS) -> DataFrame:
-    """host, bad_low of each distinct host: the lower bound of its bad rate by the nearest level that has outcomes.
+def lower_bounds(hosts: DataFrame, outcomes: DataFrame, deviations: float = DEVIATIONS, suffixes: Sequence[str] = SUFFIXES) -> tuple[DataFrame, float]:
+    """host, bad_low (six decimals) of each distinct host: the lower bound of its bad rate by the nearest level that
+    has outcomes; and the overall rate.
 
     A host without labelled pages is drawn from the priors below that level: given a mean m with posterior a, b its
     variance is m (1 - m) (1 - product of s / (s + 1)), s being a + b and the strength of each level below. An empty
     host is of no domain and no suffix.
     """
-    found, strengths, (a, b) = levels(outcomes)
-    named = F.col("host") != ""
-    rows = hosts.select("host").distinct().withColumns({"domain": F.when(named, domain_of(F.col("host"))), "suffix": F.when(named, suffix_of(F.col("host")))})
+    found, strengths, (a, b), n_suffixes = levels(outcomes, suffixes)
+    has_name = F.col("host") != ""
+    rows = hosts.select("host").distinct().withColumns({"domain": F.when(has_name, domain_of(F.col("host"), suffixes)), "suffix": F.when(has_name, suffix_of(F.col("host"), suffixes))})
     posterior = F.lit(None).cast("struct<a:double,b:double,rest:double>")
     rest = 1.0
     for unit, keys in (("host", ["host"]), ("domain", ["suffix", "domain"]), ("suffix", ["suffix"])):
-        rows = rows.join(found[unit].select(*keys, F.struct("a", "b", F.lit(rest).alias("rest")).alias(f"by_{unit}")), keys, "left")
+        told = found[unit].select(*keys, F.struct("a", "b", F.lit(rest).alias("rest")).alias(f"by_{unit}"))
+        rows = rows.join(few(told, n_suffixes) if unit == "suffix" else told, keys, "left")
         posterior = F.coalesce(posterior, F.col(f"by_{unit}"))
         rest *= strengths[unit] / (strengths[unit] + 1)
     posterior = F.coalesce(posterior, F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(rest).alias("rest")))
     size = F.col("p.a") + F.col("p.b")
     mean = F.col("p.a") / size
     spread = F.sqrt(mean * (1 - mean) * (1 - F.col("p.rest") * size / (size + 1)))
-    return rows.select("host", posterior.alias("p")).select("host", F.greatest(F.lit(0.0), mean - deviations * spread).alias("bad_low"))
+    return rows.select("host", posterior.alias("p")).select("host", F.round(F.greatest(F.lit(0.0), mean - deviations * spread), 6).alias("bad_low")), a / (a + b)
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, limit: float = LIMIT, deviations: float = DEVIATIONS) -> DataFrame:
+def judge(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, lift: float = LIFT, deviations: float = DEVIATIONS, suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
     """page_id, host, path, rule, verdict, bad_low: one row for each page, whatever its url.
 
     A null url, or one without ://, has an empty host and path; no rule fits it. Hosts without labelled pages are
-    judged by their domain, else their suffix, else all pages. Repeated rows are judged alike; other columns of pages
-    aren't read.
+    judged by their domain, else their suffix, else all pages (which blocks nothing). Repeated rows are judged alike;
+    other columns of pages aren't read.
     """
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
     hit = rule_for(F.col("host"), F.col("path"), rules)
-    return rows.join(lower_bounds(rows, outcomes, deviations), "host", "left").withColumn("hit", hit).select(
+    low, overall = lower_bounds(rows, outcomes, deviations, suffixes)
+    return rows.join(low, "host", "left").withColumn("hit", hit).select(
         "page_id", "host", "path", F.col("hit.rule").alias("rule"),
-        F.coalesce(F.col("hit.verdict"), F.when(F.col("bad_low") > limit, "block").otherwise("allow")).alias("verdict"),
+        F.coalesce(F.col("hit.verdict"), F.when(F.col("bad_low") > lift * overall, "block").otherwise("allow")).alias("verdict"),
         "bad_low",
     )
