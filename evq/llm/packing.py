@@ -8,6 +8,7 @@ a split can have padding. Nothing is shuffled; memory is bounded by the shard.
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
 
@@ -23,15 +24,16 @@ from .common import give_back
 WINDOW, END_ID = 2048, 1
 #: A shard is closed at so many bytes of text or documents.
 SHARD_BYTES, SHARD_DOCS = 4_000_000, 20_000
-#: A seed asks with its most telling terms, so many of them; BM25 parameters.
-TERMS, K1, B = 16, 1.2, 0.75
+#: BM25 parameters, and how many neighbours are put in order at a time.
+K1, B, ORDERED = 1.2, 0.75, 64
 
 #: Words joined for one call of the tokenizer; between them a control character that is a token of its own.
 JOINED, BREAK = 200, "\x01"
 #: The byte-level alphabet's letter for the break, for where the tokenizer's own mapping of bytes is left out.
 PLAIN_BREAK = chr(0x101)
-#: ASCII but letters and digits (words are in lower case).
-MARKS = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
+#: A word that ends in ASCII marks behind a letter or digit, in two parts. The letters are those of which it's sure that
+#: the tokenizer takes them for one letter in lower case too (so not U+0130, which becomes two characters).
+CLOSED = r"(?s)^(?P<head>.*[a-zA-Z0-9\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}\x{388}-\x{3FF}\x{400}-\x{481}])(?P<tail>[!-/:-@\[-`{-~]+)$"
 
 
 def ragged(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -76,57 +78,62 @@ class Encoder:
                 flat.append(ids[ids != self.end])
         return flat, sizes
 
-    def words(self, distinct: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The same for any words."""
-        atoms: dict[str, int] = {"": 0}
-        heads, tails = [], []
-        for w in distinct:
-            x = w.rstrip(MARKS)
-            if any(t in w for t in self.special):
-                heads.append(atoms.setdefault(w, len(atoms)))
-                tails.append(0)
-            elif x and len(x) < len(w) and (x[-1].isalpha() or x[-1] in "0123456789"):
-                heads.append(atoms.setdefault(x, len(atoms)))
-                tails.append(atoms.setdefault(w[len(x) :], len(atoms)))
-            else:
-                heads.append(atoms.setdefault(w, len(atoms)))
-                tails.append(0)
-        plain, other, odd = [], [], []
-        for w in atoms:
-            if w:
-                (plain if w.isascii() and w.isalpha() and w.islower() else odd if BREAK in w or any(t in w for t in self.special) else other).append(w)
-        order = np.array([0, *(atoms[w] for part in (plain, other, odd) for w in part)])
-        flat, sizes = [], [np.zeros(1, np.int64)]
-        for f, n in (self.parts(plain, self.plain, PLAIN_BREAK), self.parts(other, self.tokenizer, BREAK)):
+    def words(self, distinct: pa.Array, rare: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The same for any words, each cut into its head and its closing marks; equal parts are encoded once.
+
+        rare: whether a special token or the break may be in them."""
+
+        def holds(some: pa.Array, *what: str) -> pa.Array:
+            return functools.reduce(pc.or_, [pc.match_substring(some, t) for t in what]) if rare else pa.repeat(False, len(some))
+
+        cut = pc.extract_regex(distinct, CLOSED)
+        whole = pc.or_(pc.is_null(cut), holds(distinct, *self.special))
+        heads = pc.if_else(whole, distinct, pc.struct_field(cut, "head"))
+        tails = pc.if_else(whole, "", pc.struct_field(cut, "tail"))
+        coded = pa.concat_arrays([heads, tails]).dictionary_encode()
+        atoms = coded.dictionary
+        plain = pc.match_substring_regex(atoms, "^[a-z]+$")
+        odd = holds(atoms, BREAK, *self.special)
+        kind = np.where(plain.to_numpy(zero_copy_only=False), 0, np.where(odd.to_numpy(zero_copy_only=False), 2, 1))
+        kind[pc.equal(atoms, "").to_numpy(zero_copy_only=False)] = 3
+        order = np.argsort(kind, kind="stable")
+        n_plain, n_other, n_odd, n_empty = np.bincount(kind, minlength=4)
+        sorted_atoms = atoms.take(pa.array(order)).to_pylist()
+        flat, sizes = [], []
+        for some, tokenizer, mark in ((sorted_atoms[:n_plain], self.plain, PLAIN_BREAK), (sorted_atoms[n_plain : n_plain + n_other], self.tokenizer, BREAK)):
+            f, n = self.parts(some, tokenizer, mark)
             flat += f
             sizes += n
-        for w in odd:
+        for w in sorted_atoms[n_plain + n_other : n_plain + n_other + n_odd]:
             ids = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, np.uint32)
             flat.append(ids)
             sizes.append(np.array([len(ids)]))
+        sizes.append(np.zeros(n_empty, np.int64))
         values, n = np.concatenate(flat) if flat else np.empty(0, np.uint32), np.concatenate(sizes)
         starts, size = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
         starts[order], size[order] = np.cumsum(n) - n, n
-        values, n = ragged(values, starts, size, np.array([heads, tails], np.int64).T.reshape(-1))
+        values, n = ragged(values, starts, size, coded.indices.to_numpy().reshape(2, -1).T.reshape(-1))
         return values, n.reshape(-1, 2).sum(1)
 
     def shard(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all texts one after another, each with the end id; ids of each; word numbers of all; words of each."""
         low = pc.ascii_lower(texts)
-        if not any(pc.any(pc.match_substring(low, t.lower())).as_py() for t in self.special):
+        special = any(pc.any(pc.match_substring(low, t.lower())).as_py() for t in self.special)
+        rare = special or bool(pc.any(pc.match_substring(low, BREAK)).as_py())
+        if not special:
             texts = low  # fewer distinct words; where a special token may be, letters stay as they are
         split = pc.ascii_split_whitespace(texts)
         coded = split.flatten().dictionary_encode()
         codes = coded.indices.to_numpy().astype(np.int64)
         each = np.diff(split.offsets.to_numpy())
-        distinct = coded.dictionary.to_pylist()
-        values, n = self.words(distinct)
+        distinct = coded.dictionary
+        values, n = self.words(distinct, rare)
         values, n = np.append(values, np.uint32(END_ID)), np.append(n, 1)  # one more word stands for the end
         with_end = np.insert(codes, np.cumsum(each), len(distinct))
         ids, sizes = ragged(values, np.cumsum(n) - n, n, with_end)
         ends = np.cumsum(sizes)[np.cumsum(each + 1) - 1]
-        if "" in distinct:  # white space at an end makes an empty word
-            real = codes != distinct.index("")
+        if (empty := pc.index(distinct, "").as_py()) >= 0:  # white space at an end makes an empty word
+            real = codes != empty
             each = np.bincount(np.repeat(np.arange(len(each)), each)[real], minlength=len(each))
             codes = codes[real]
         return ids, np.diff(ends, prepend=0), codes, each
@@ -157,29 +164,32 @@ class Index:
         norm = K1 * (1 - B + B * sizes / max(1.0, sizes.mean() if self.n else 1.0))
         weight = idf[rank] * tf * (K1 + 1) / (tf + norm[owner])
         shared = df[rank] > 1  # a term of one document finds no neighbour
-        self.docs, self.weights, rank = owner[shared], weight[shared].astype(np.float32), rank[shared]
-        self.ends = np.cumsum(np.where(df > 1, df, 0))
-        self.starts = self.ends - np.where(df > 1, df, 0)
+        self.docs, self.weights, rank = owner[shared], weight[shared], rank[shared]
+        self.sizes = np.where(df > 1, df, 0)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.places = np.arange(len(self.docs))
         own = np.sort(self.docs << 32 | np.arange(len(self.docs)))  # the postings by document
         at = own & 0xFFFFFFFF
-        self.own_code, self.own_weight = rank[at], self.weights[at]
+        self.own_code = rank[at]
         self.own_ends = np.searchsorted(own >> 32, np.arange(self.n), "right")
 
-    def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents that share one of the seed's most telling terms, best first, ties by position."""
+    def neighbours(self, seed: int, unused: np.ndarray) -> Iterator[int]:
+        """Unused documents that share a term with the seed, best first by all its terms, ties by position."""
         a, b = self.own_ends[seed - 1] if seed else 0, self.own_ends[seed]
         if a == b:
-            return np.empty(0, int)
+            return
         codes = self.own_code[a:b]
-        if b - a > TERMS:
-            codes = codes[np.argsort(-self.own_weight[a:b], kind="stable")[:TERMS]]
-        at = np.concatenate([np.arange(self.starts[c], self.ends[c]) for c in codes])
-        docs = self.docs[at]
-        keep = unused[docs]
-        if not keep.any():
-            return np.empty(0, int)
-        found, place = np.unique(docs[keep], return_inverse=True)
-        return found[np.argsort(-np.bincount(place, self.weights[at][keep]), kind="stable")]
+        at, _ = ragged(self.places, self.starts, self.sizes, codes)
+        score = np.bincount(self.docs[at], self.weights[at], self.n)
+        found = np.flatnonzero((score > 0) & unused)
+        score = -score[found]
+        size = ORDERED
+        while len(found) > size:  # the best few are put in order first: a window needs no more
+            edge = np.partition(score, size - 1)[size - 1]
+            first = score <= edge
+            yield from found[first][np.argsort(score[first], kind="stable")].tolist()
+            found, score, size = found[~first], score[~first], 4 * size
+        yield from found[np.argsort(score, kind="stable")].tolist()
 
 
 class Packer:
@@ -211,17 +221,16 @@ class Packer:
                 for other in index.neighbours(seed, unused):
                     unused[other] = False
                     opened = self.sequence
-                    yield from self.place(int(other), 0, lengths[other])
+                    yield from self.place(other, 0, lengths[other])
                     if self.sequence != opened:
-                        following = int(other)
+                        following = other
                         break
                 if following is None or not self.filled:
                     break
                 # the rest of the cut document has opened a new window: its neighbours come next
-                more = index.neighbours(following, unused)
-                if not len(more):
+                seed = next(index.neighbours(following, unused), None)
+                if seed is None:
                     break
-                seed = int(more[0])
 
 
 def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:

@@ -86,14 +86,17 @@ def found(text: Column, pattern: str, kind: int, group: int = 0) -> Column:
 
 
 def scan(docs: DataFrame, table: list[float], limit: float = LIMIT) -> DataFrame:
-    """docs with base (array of spans start, kind, end, token) and spans (base and the models', in order).
+    """row (a struct of docs' columns, whatever their names), text, base (array of spans start, kind, end, token) and
+    spans (base and the models', in order).
 
-    kind is a place in KINDS; spans are ordered by start, then kind. A null text has no spans. The models' spans are
-    the parts of their tokens that lie outside the base ones. Nothing is shuffled. Columns of docs called base or spans would be replaced.
+    kind is a place in KINDS; spans are ordered by start, then kind. A null or empty text has no spans. The models'
+    spans are the parts of their tokens that lie outside the base ones. Rows are scanned each by itself, repeated
+    ones alike; an empty table gives none. Nothing is shuffled.
     """
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("text"))
     text = F.coalesce(F.col("text"), F.lit(""))
     assign = F.filter(found(text, ASSIGN, 0, 2), lambda s: F.length(s["token"]) >= ASSIGN_LEAST)
-    out = docs.withColumn("base", F.array_sort(F.concat(assign, found(text, ACCESS, 1), found(text, HEX, 2))))
+    out = rows.withColumn("base", F.array_sort(F.concat(assign, found(text, ACCESS, 1), found(text, HEX, 2))))
     more = F.filter(found(text, TOKEN, 3), lambda s: ratio(s["token"], table) > limit)
     return out.withColumn("spans", F.array_sort(F.concat("base", F.flatten(F.transform(more, lambda s: outside(s, F.col("base")))))))
 
@@ -121,18 +124,21 @@ def listed(spans: Column) -> Column:
 
 
 def digest(docs: DataFrame, table: list[float]) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans: what scan() found, one row a document."""
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans: what scan() found, one row for each row of docs."""
     rows = scan(docs.select("doc_id", "text"), table)
 
     def count(kind: int) -> Column:  # a lambda's second parameter would be the place in the array
         return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{KINDS[kind]}")
 
-    return rows.select("doc_id", *map(count, range(3)), F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+    return rows.select("row.doc_id", *map(count, range(3)), F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
 def redact(docs: DataFrame, table: list[float], mark: str = "[secret]") -> DataFrame:
-    """docs with each span of text (overlapping ones together) replaced by the mark; other columns as they are."""
-    rows = scan(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), "text"), table)
+    """docs with each span of text (overlapping ones together) replaced by the mark; other columns as they are.
+
+    Texts without spans, null and empty ones too, stay as they are.
+    """
+    rows = scan(docs, table)
     cut = F.aggregate(
         "spans",
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
@@ -140,4 +146,4 @@ def redact(docs: DataFrame, table: list[float], mark: str = "[secret]") -> DataF
         lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text") - acc["at"])),
     )
     text = F.when(F.size("spans") > 0, cut).otherwise(F.col("text"))
-    return rows.select(*(text.alias(c) if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns))
+    return rows.select(*(text.alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns))

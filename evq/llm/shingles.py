@@ -7,7 +7,7 @@ import xxhash
 
 from .common import words
 
-SHINGLE, HASHES, ROWS = 5, 128, 4
+SHINGLE, HASHES, ROWS = 5, 128, 4  # ROWS values of 16 bits make a band's key of 64
 BANDS = HASHES // ROWS
 _REMEMBERED = 1 << 16
 _KNOWN: dict[bytes, int] = {}
@@ -54,17 +54,19 @@ def shingle_set(text: str | None, n: int = SHINGLE) -> np.ndarray:
 
 
 def minhash(shingles: np.ndarray) -> np.ndarray:
-    """HASHES values of 32 bits; two sets agree in each with the probability of their Jaccard similarity."""
+    """HASHES values of 16 bits; two sets agree in each with the probability of their Jaccard similarity, and by chance
+    with one of 2^-16 more."""
     out = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(shingles), 128):  # stays in the cache
         out = np.minimum(out, (shingles[at : at + 128, None] * _A + _B).min(0))
-    return (mixed(out) >> np.uint64(32)).astype(np.uint32)
+    return (mixed(out) >> np.uint64(48)).astype(np.uint16)
 
 
-def bands(signature: np.ndarray) -> np.ndarray:
-    """One 64-bit key for each band, different for equal values in different bands."""
-    rows = signature.astype(np.uint64).reshape(BANDS, ROWS)
-    key = np.arange(BANDS, dtype=np.uint64) + np.uint64(1)
-    for k in range(ROWS):
-        key = mixed(key * _P + rows[:, k])
-    return key.view(np.int64)
+def packed(signature: np.ndarray) -> np.ndarray:
+    """A signature as BANDS numbers of 64 bits, each the ROWS values of a band side by side."""
+    return signature.view(np.int64)
+
+
+def unpacked(bands: np.ndarray) -> np.ndarray:
+    """Signatures (rows of HASHES values) from their bands one after another."""
+    return bands.astype(np.int64).view(np.uint16).reshape(-1, HASHES)

@@ -17,11 +17,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checkpointed, words
+from .common import checkpointed, hot_values, words
 from .fm_index import FMIndex
 from .shingles import runs, word_hashes
 
@@ -30,6 +30,8 @@ WINDOW, ANCHOR = 13, 6
 SHARD_SEGMENTS = 30_000
 #: Stands for a null id: nothing comes after it.
 NO_ID = (1 << 63) - 1
+#: Texts that a task remembers, so that of a text's copies one a task is looked at.
+REMEMBERED = 1 << 18
 
 
 def anchors(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -48,18 +50,24 @@ def anchors(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def anchored(texts: DataFrame) -> DataFrame:
-    """anchor, mark: the distinct anchors of each text."""
+    """anchor, mark: the distinct anchors of each text, once for all copies that a task meets."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
-                found = []
-                for t in part.column(1).to_pylist():
+                found, marks = [np.empty(0, np.int64)], [0]
+                for mark, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    if mark in seen:
+                        continue
+                    if len(seen) >= REMEMBERED:
+                        seen.clear()
+                    seen.add(mark)
                     r, places = anchors(word_hashes(t))
                     found.append(np.unique(r[np.unique(places)]).view(np.int64))
-                marks = np.repeat(part.column(0).to_numpy(), [len(f) for f in found])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(marks)], ["anchor", "mark"])
+                    marks.append(mark)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.repeat(np.array(marks, np.int64), [len(f) for f in found]))], ["anchor", "mark"])
 
     return texts.select("mark", "text").mapInArrow(rows, "anchor long, mark long")
 
@@ -156,20 +164,39 @@ def dedup(docs: DataFrame, shard_segments: int = SHARD_SEGMENTS) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for each row of docs.
 
     A null text has no words; texts of fewer than 13 words lose none. A null id comes after all others. Rows with
-    equal ids don't take words from each other. kept_sha256 is that of the kept words joined by one space.
+    equal ids don't take words from each other. kept_sha256 is that of the kept words joined by one space. An empty
+    table gives no rows. doc_id has to be an integer; other columns aren't read.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("own"), F.coalesce("text", F.lit("")).alias("text"))
     # equal texts are told by two hashes; the first one is the key of all joins, so the texts are shuffled once
     texts = texts.withColumn("mark", F.xxhash64("text")).withColumn("check", F.hash("text").cast("long"))
-    firsts = texts.groupBy("mark", "check").agg(F.min("own").alias("first")).groupBy("mark").agg(F.collect_list(F.struct("check", "first")).alias("firsts"))
-    per_text = checkpointed(repeated_anchors(texts))
+    firsts = checkpointed(texts.groupBy("mark", "check").agg(F.min("own").alias("first"), F.count("*").alias("n")))
+    totals = firsts.agg(F.sum("n").alias("n")).first()
+    hot = hot_values(firsts.groupBy("mark").agg(F.sum("n").alias("n")), "mark", "n", totals["n"] or 0)
+    told = [(r["mark"], r["first"]) for r in firsts.where(F.col("mark").isin(hot)).collect()] if hot else []
+    first_of = {m: first for m, first in told if sum(m == other for other, _ in told) == 1}  # a mark of one text
+    # rows of a text with very many copies are dealt by their own ids instead, its first row among them
+    is_hot = F.col("mark").isin(list(first_of)) if first_of else F.lit(False)
+
+    def dealt(own) -> Column:
+        return F.when(is_hot, F.xxhash64(F.lit(1), own)).otherwise(F.col("mark")).alias("dealt")
+
+    if first_of:
+        lead = F.create_map(*(F.lit(x).cast("long") for m, first in first_of.items() for x in (m, first)))[F.col("mark")]
+    else:
+        lead = F.lit(None).cast("long")
+    per_text = checkpointed(repeated_anchors(texts).select(dealt(lead), "mark", "repeated"))
     n = per_text.agg(F.sum(F.size("repeated"))).first()[0] or 0
     shards = max(1, n // shard_segments)
-    laid = texts.join(firsts, "mark").withColumn("first", F.filter("firsts", lambda x: x["check"] == F.col("check"))[0]["first"]).drop("firsts")
-    pieces = cut_segments(laid.where("own = first").join(per_text, "mark"))
+    listed = firsts.where(~is_hot).groupBy(F.col("mark").alias("dealt")).agg(F.collect_list(F.struct("check", "first")).alias("firsts"))
+    first = F.coalesce(F.when(is_hot, lead), F.filter("firsts", lambda x: x["check"] == F.col("check"))[0]["first"])
+    laid = texts.withColumn("dealt", dealt(F.col("own"))).join(listed, "dealt", "left").withColumn("first", first).drop("firsts")
+    own_rows = laid.where("own = first").join(per_text.select("dealt", F.col("mark").alias("of"), "repeated"), "dealt").where(F.col("mark").bitwiseXOR(F.col("of")) == 0)
+    pieces = cut_segments(own_rows)
     found = pieces.groupBy(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard")).applyInArrow(lambda t: indexed(t), "mark long, check long, own long, starts binary")
-    gone = found.groupBy("mark").agg(F.collect_list(F.struct("check", "own", "starts")).alias("gone"))
-    whole = laid.join(gone, "mark", "left").select("doc_id", "own", "first", "text", F.transform(F.filter("gone", lambda x: (x["check"] == F.col("check")) & (x["own"] == F.col("own"))), lambda x: x["starts"]).alias("starts"))
+    gone = found.groupBy("mark").agg(F.collect_list(F.struct("mark", "check", "own", "starts")).alias("gone")).select(dealt(lead), "gone")
+    mine = F.filter("gone", lambda x: (x["mark"] == F.col("mark")) & (x["check"] == F.col("check")) & (x["own"] == F.col("own")))
+    whole = laid.join(gone, "dealt", "left").select("doc_id", "own", "first", "text", F.transform(mine, lambda x: x["starts"]).alias("starts"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
