@@ -2,15 +2,18 @@
 
 import collections
 import hashlib
+import os
 import random
 import re
+import time
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from evq.llm import common, fm_index, html_extract, language_id, mixing, ngram_join, packing, quality, queries, secret_scan, simhash, substring_dedup, url_filter
+import oracle
+from evq.llm import common, components, fm_index, html_extract, language_id, mixing, ngram_join, packing, quality, queries, secret_scan, simhash, substring_dedup, url_filter
 
 DATA = "/root/testdata/sf0.001"
 LONG = " ".join(f"w{i % 977}x{i % 31}" for i in range(30_000))
@@ -119,8 +122,39 @@ def test_packing(docs, odd):
 def test_neighbours():
     codes = np.array([0, 1, 2, 0, 1, 3, 4, 5, 0])
     index = packing.Index(codes, np.array([3, 3, 2, 1]))
-    assert index.neighbours(0, np.array([False, True, True, True])).tolist() == [1, 3]
-    assert index.neighbours(2, np.ones(4, bool)).tolist() == []
+    assert list(index.neighbours(0, np.array([False, True, True, True]))) == [1, 3]
+    assert list(index.neighbours(2, np.ones(4, bool))) == []
+    rng = np.random.default_rng(3)
+    sizes = rng.integers(1, 12, 400)
+    codes = rng.integers(0, 60, sizes.sum())
+    index = packing.Index(codes, sizes)
+    docs_ = np.split(codes, np.cumsum(sizes)[:-1])
+    df = np.array([sum(c in d for d in docs_) for c in range(60)])
+    for seed in (0, 5, 77):  # by all terms, over many documents, in the order of a whole sort
+        score = np.zeros(400)
+        for i, d in enumerate(docs_):
+            for c in set(docs_[seed].tolist()) & set(d.tolist()):
+                tf = (d == c).sum()
+                score[i] += np.log1p((400 - df[c] + 0.5) / (df[c] + 0.5)) * tf * (packing.K1 + 1) / (tf + packing.K1 * (1 - packing.B + packing.B * len(d) / sizes.mean()))
+        unused = rng.random(400) < 0.8
+        got = list(index.neighbours(seed, unused))
+        assert set(got) == set(np.flatnonzero((score > 0) & unused).tolist())
+        assert np.allclose(score[got], -np.sort(-score[got]))
+
+
+def test_encoder_fuzz():
+    """Ids are the tokenizer's, whatever the words end in: letters that lowering makes two, combining marks, controls."""
+    import pyarrow as pa
+
+    enc, rng = packing.Encoder(queries.tokenizer_path()), random.Random(9)
+    common_, rare = "abzAZ09 \t\n.,!?'\"-_%$&()\u0130\u0131\u00c9\u00e9\u00df\u1e9e\u03a3\u03c2\u01c5\u0149\ufb01i\u0307\u0338\u0301\u00a0\u2003\x01\x00\x1c<>=\u4e2d\u06f3\u00b2\u2167\u00aa", [*range(0x80, 0x3000), *range(0xA000, 0xD7FF), *range(0x10000, 0x1FFFF)]
+    parts = ["'s", "'re", "<|endoftext|>", "<|ENDOFTEXT|>", "don't!", "\u0130.", "A\u0130B!", "KAD\u0130:", "\x01"]
+    for k in range(1500):
+        batch = ["".join(rng.choice(parts) if rng.random() < 0.04 else rng.choice(common_) if rng.random() < 0.9 else chr(rng.choice(rare)) for _ in range(rng.randrange(60))) for _ in range(5)]
+        if k % 2:  # without what makes a whole shard slow
+            batch = [t.replace("<|", "").replace("\x01", "") for t in batch]
+        ids, lengths, _, _ = enc.shard(pa.array(batch))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])] == [enc.tokenizer.encode(t, add_special_tokens=False).ids + [1] for t in batch]
 
 
 def spans_of(t):
@@ -195,6 +229,42 @@ def test_quality(spark, docs, odd):
     assert quality.rate(odd, empty(labels)).count() == odd.count() and quality.rate(empty(odd), labels).count() == 0
 
 
+def test_bounded_samples(spark):
+    """Rows with null or repeated ids are drawn like any others, and never more than the bound."""
+    texts = spark.range(6000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("some words of row "), F.md5(F.col("id").cast("string"))).alias("text"), F.when(F.col("id") % 3 == 0, "xx").otherwise("yy").alias("lang"))
+    counts = {"xx": 2000, "yy": 4000}
+    got = language_id.sampled(texts.select(F.col("lang").alias("l"), F.col("text").alias("t")), counts, 50).groupBy("l").count().collect()
+    assert {r["l"]: r["count"] for r in got} == {"xx": 50, "yy": 50}
+    same = texts.withColumn("text", F.lit("one text"))
+    assert language_id.sampled(same.select(F.col("lang").alias("l"), F.col("text").alias("t")), counts, 50).count() <= 2
+    assert language_id.train(texts).languages == ["xx", "yy"]
+    with pytest.raises(ValueError, match="more than 1 languages"):
+        language_id.train(texts, max_languages=1)
+    measured = quality.measure(texts.withColumn("doc_id", F.lit(7)).unionByName(texts.withColumn("doc_id", F.lit(8))))
+    labels = spark.createDataFrame([(7, 1), (8, 0), (None, 1), (7, None)] * 50, "doc_id int, quality int")
+    seen = []
+    quality_grow, quality.grow = quality.grow, lambda x, y, m: seen.append(len(x)) or quality_grow(x, y, m)
+    try:
+        quality.train(measured, labels, max_rows=300)
+    finally:
+        quality.grow = quality_grow
+    assert seen == [300] or seen and seen[0] <= 300
+
+
+def test_quality_held_out(spark):
+    """Trees that never saw a quarter of the labels tell it better than chance."""
+    folder = "/root/testdata/sf0.01"
+    docs_, labels = common.table(spark, folder, "documents"), common.table(spark, folder, "labels")
+    fold = F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0
+    measured = quality.measure(docs_).cache()
+    trees = quality.train(measured, labels.where(~fold))
+    rows = measured.join(labels.where(fold), "doc_id").collect()
+    p, y = trees.probability(np.array([r["features"] for r in rows])), np.array([r["quality"] for r in rows])
+    ranks = np.argsort(np.argsort(p))
+    auc = (ranks[y == 1].sum() - (y == 1).sum() * ((y == 1).sum() - 1) / 2) / ((y == 1).sum() * (y == 0).sum())
+    assert auc > 0.9, auc
+
+
 def test_simhash(spark, docs, odd):
     rows = {r["doc_id"]: r for r in simhash.fingerprints(docs).collect()}
     order = sorted(docs.collect(), key=lambda r: -r["doc_id"])
@@ -213,6 +283,101 @@ def test_simhash(spark, docs, odd):
     assert got == {(f"{a:032x}", f"{b:032x}", (a ^ b).bit_count()) for a in near for b in base if (a ^ b).bit_count() <= 3}
 
 
+@pytest.mark.parametrize("block", [2048, 4])
+def test_near_counts(spark, block):
+    rng = random.Random(4)
+    base = [rng.getrandbits(128) for _ in range(40)]
+    near = [b ^ sum(1 << k for k in rng.sample(range(128), rng.randint(0, 5))) for b in base * 3]
+    same = [base[0] ^ (1 << k) for k in range(30)]  # many under one value of a block
+    rows = base + near + same + base[:5] * 7
+    got = {r["fingerprint"]: (r["n_equal"], r["n_near"]) for r in simhash.near_counts(spark.createDataFrame([(f"{x:032x}",) for x in rows] + [(None,)], "fingerprint string"), block=block).collect()}
+    assert got == {f"{a:032x}": (rows.count(a), sum(0 < (a ^ b).bit_count() <= simhash.RADIUS for b in rows)) for a in set(rows)}
+    assert simhash.near_counts(spark.createDataFrame([], "fingerprint string")).count() == 0
+
+
+def test_simhash_of_one_id(spark, monkeypatch):
+    """Repeated and null ids are cut into stretches too; each document still meets the next one."""
+    monkeypatch.setattr(simhash, "STRETCH", 10)
+    rng = random.Random(8)
+    rows = [(None, f"null {i}") for i in range(150)] + [(5, f"five {i}") for i in range(150)] + [(i, f"text {rng.random()}") for i in range(60)] + [(5, "five 3")] * 3
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    laid = simhash.with_next(frame).collect()
+    assert max(collections.Counter(r["_stretch"] for r in laid).values()) < 60
+    hashed = {(r["doc_id"], r["text"]): r["h"] for r in frame.withColumn("h", F.xxhash64("text")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), -hashed[r], r[1]))
+    want = collections.Counter((i, hashlib.sha256((t[: len(t) - len(t) // 2] + o[: len(t) // 2]).encode()).hexdigest()) for (i, t), (_, o) in zip(order, order[1:] + order[:1]))
+    assert collections.Counter((r["doc_id"], r["edited_sha256"]) for r in simhash.fingerprints(frame).collect()) == want
+
+
+@pytest.fixture
+def all_hot(monkeypatch):
+    """Every key of two rows or more counts as hot."""
+    monkeypatch.setattr(common, "HOT_ROWS", 1)
+    monkeypatch.setattr(common, "HOT", 100)
+
+
+def test_hot_keys(spark, all_hot):
+    rows = spark.createDataFrame([(k, v) for k, n in ((1, 50), (2, 30), (3, 1), (4, 1), (9, 2)) for v in range(n)], "k long, v long")
+    told = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (5, "d")], "k long, w string")
+    hot = common.hot_values(rows.groupBy("k").count(), "k", "count", rows.count())
+    assert hot == [1, 2, 9]
+    got = common.joined_to_one(rows, told, "k", hot, F.xxhash64("v"))
+    assert sorted(got.collect()) == sorted(rows.join(told, "k").collect()) and got.columns == ["k", "v", "w"]
+
+
+def test_components(spark, all_hot):
+    rng = random.Random(6)
+    edges = [(rng.randint(0, 150), rng.randint(0, 150)) for _ in range(110)] + [(200, i) for i in range(201, 260)] + [(i, i + 1) for i in range(300, 340)]
+    parent = list(range(400))
+
+    def top(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in edges:
+        parent[max(top(a), top(b))] = min(top(a), top(b))
+    got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {x: top(x) for e in edges if e[0] != e[1] for x in e}
+
+
+def test_checkpoints(spark):
+    class Else:
+        class sparkContext:
+            master = "spark://there:7077"
+
+            class _jsc:
+                sc = staticmethod(lambda: type("S", (), {"getCheckpointDir": staticmethod(lambda: type("O", (), {"isEmpty": staticmethod(lambda: True)}))}))
+
+        conf = type("C", (), {"get": staticmethod(lambda name, default=None: default)})
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.checkpointed(type("D", (), {"sparkSession": Else})())
+    df = common.checkpointed(spark.range(10))
+    folder = df._jdf.queryExecution().logical().rdd().getCheckpointFile().get().removeprefix("file:")
+    assert os.path.isdir(folder)
+    common.discard(df)
+    assert not os.path.exists(folder)
+
+
+def test_forest():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 2**60, 200, dtype=np.uint64)) for _ in range(6)]
+    sets += [np.unique(np.concatenate((s[: int(200 * rng.uniform(0.75, 1))], rng.integers(0, 2**60, 10, dtype=np.uint64)))) for s in sets for _ in range(4)]
+    rng.shuffle(sets)
+    signatures, sizes = np.array([ngram_join.minhash(s) for s in sets]), np.array([len(s) for s in sets])
+    starts = np.array([0, 1, 3, 12, 20])
+    x, y = ngram_join.forest(signatures, sizes, starts)
+    group = np.searchsorted(starts, np.arange(len(sets)), "right")
+    a, b = (p.reshape(-1) for p in np.meshgrid(np.arange(len(sets)), np.arange(len(sets))))
+    pairs = (a < b) & (group[a] == group[b])
+    a, b = a[pairs], b[pairs]
+    live = ngram_join.likely(signatures, sizes, a, b)
+    assert (ngram_join.roots(len(sets), x, y) == ngram_join.roots(len(sets), a[live], b[live])).all()
+    assert len(x) == len(sets) - len(set(ngram_join.roots(len(sets), x, y).tolist()))
+    assert (ngram_join.unpacked(np.concatenate([ngram_join.packed(s) for s in signatures])) == signatures).all()
+
+
 def brute_join(texts, threshold=0.8):
     sets = []
     for _, t in texts:
@@ -237,7 +402,9 @@ def brute_join(texts, threshold=0.8):
 
 
 @pytest.mark.parametrize("block", [400, 2])
-def test_join(spark, block):
+def test_join(spark, block, request):
+    if block == 2:
+        request.getfixturevalue("all_hot")
     rng = random.Random(5)
     texts = []
     for g in range(12):
@@ -249,7 +416,7 @@ def test_join(spark, block):
             texts.append((len(texts), " ".join(w)))
     texts += [(len(texts) + i, t) for i, t in enumerate([None, "", "a b", "a b", "a  b"])]
     links, tops = brute_join(texts)
-    got = {r["doc_id"]: r for r in ngram_join.join(spark.createDataFrame(texts, "doc_id long, text string"), block=block).collect()}
+    got = {r["doc_id"]: r for r in ngram_join.joined(spark.createDataFrame(texts, "doc_id long, text string"), ngram_join.THRESHOLD, block, block).drop("keeper").collect()}
     assert [got[i]["n_links"] for i, _ in texts] == links and [got[i]["class_id"] for i, _ in texts] == tops
 
 
@@ -271,6 +438,65 @@ def test_html(spark):
     assert html_extract.extract_all(pages, field).count() == 3
 
 
+def field_and_page(seed, n):
+    rng = np.random.default_rng(seed)
+    field = html_extract.Field(rng.normal(size=(html_extract.WIDTH, 2)), rng.normal(size=(2, 2)), rng.normal(size=2))
+    return field, [rng.choice(html_extract.WIDTH, 3, replace=False) for _ in range(n)]
+
+
+def log_score(field, xs, ys):
+    return field.start[ys[0]] + sum(field.emit[x, y].sum() for x, y in zip(xs, ys)) + sum(field.step[a, b] for a, b in zip(ys, ys[1:]))
+
+
+def test_viterbi():
+    for seed in range(20):
+        field, xs = field_and_page(seed, 1 + seed % 8)
+        every = [list(map(int, f"{k:0{len(xs)}b}")) for k in range(2 ** len(xs))]
+        assert field.decode(xs) == max(every, key=lambda ys: log_score(field, xs, ys))
+
+
+def test_field_learns_the_gradient(monkeypatch):
+    """One step of training goes along the gradient of the likelihood, taken over all label sequences."""
+    _, xs = field_and_page(3, 4)
+    ys, zero = [0, 1, 1, 0], html_extract.Field(np.zeros((html_extract.WIDTH, 2)), np.zeros((2, 2)), np.zeros(2))
+    every = [list(map(int, f"{k:04b}")) for k in range(16)]
+
+    def likelihood(field):
+        scores = np.array([log_score(field, xs, y) for y in every])
+        return log_score(field, xs, ys) - np.logaddexp.reduce(scores)
+
+    got = html_extract.fit([(xs, ys)], rounds=1, rate=1.0, ridge=0.0)
+    for name in ("emit", "step", "start"):
+        for at in np.ndindex(getattr(zero, name).shape) if name != "emit" else [(int(i), k) for x in xs for i in x for k in range(2)]:
+            up = html_extract.Field(zero.emit.copy(), zero.step.copy(), zero.start.copy())
+            getattr(up, name)[at] += 1e-6
+            slope = (likelihood(up) - likelihood(zero)) / 1e-6
+            assert np.sign(getattr(got, name)[at]) == np.sign(round(slope, 4))
+            assert abs(getattr(got, name)[at] - slope / np.sqrt(slope**2 + 1e-6)) < 1e-3
+
+
+def test_html_without_a_known_holder():
+    field = html_extract.train()
+    body = "<h1>A title of it</h1><p>First paragraph of the article, of some length.</p><p>Second one follows here.</p>"
+    want = "A title of it\nFirst paragraph of the article, of some length.\nSecond one follows here."
+    for page in ("{}", "<div id=x>{}</div>", "<body><nav><a href=/>Home</a></nav><div>{}</div><footer>&copy; x</footer></body>", "<section class='q r'>{}</section>", "<main>{}</main>"):
+        assert html_extract.extract(page.format(body), field) == want, page
+    assert html_extract.extract("Plain text of a page.\nIt has two lines.", field) == "Plain text of a page. It has two lines."
+
+
+def test_html_in_proportion():
+    field = html_extract.Field(np.zeros((html_extract.WIDTH, 2)), np.zeros((2, 2)), np.zeros(2))
+    for part in ("<div>x", "<div class='a{i}'><p>x", "<x><li>y", "<td>z</p>", "</div>", "<p>", "<table><li><x>", "<!--", "<a href='"):
+        took = []
+        for n in (4000, 16000):
+            page = "".join(part.replace("{i}", str(i)) for i in range(n))
+            began = time.perf_counter()
+            html_extract.extract(page, field)
+            took.append(time.perf_counter() - began)
+        assert took[1] < 10 * took[0] + 0.5, (part, took)
+    assert len(html_extract.blocks("<div>" * 50_000 + "x")) == 1
+
+
 def test_fm_index():
     rng = np.random.default_rng(4)
     text = rng.integers(1, 5, 400)
@@ -322,6 +548,13 @@ def test_dedup_anchors_of_copies(spark):
     assert [found[i] for i, _ in rows] == brute_dedup(rows)
 
 
+def test_dedup_of_hot_texts(spark, all_hot):
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = [(i, passage + " and its end") for i in range(60)] + [(60 + i, f"x{i} {passage} y{i}") for i in range(20)] + [(90, "q " * 20)] * 3 + [(91, ""), (92, None)]
+    got = collections.Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect())
+    assert got == collections.Counter((i, *x) for (i, _), x in zip(rows, brute_dedup(rows)))
+
+
 def test_dedup_odd(odd):
     rows = [(substring_dedup.NO_ID if r["doc_id"] is None else r["doc_id"], r["text"]) for r in odd.collect()]
     got = sorted((substring_dedup.NO_ID if r["doc_id"] is None else r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.dedup(odd).collect())
@@ -352,8 +585,8 @@ def test_urls_without_labels(spark):
     for h, r in known.items():
         if h in low:
             m, s = r["a"] / (r["a"] + r["b"]), r["a"] + r["b"]
-            assert abs(low[h] - max(0, m - url_filter.DEVIATIONS * (m * (1 - m) / (s + 1)) ** 0.5)) < 1e-12
-    found, strengths, _ = url_filter.levels(bad)
+            assert abs(low[h] - max(0, m - url_filter.DEVIATIONS * (m * (1 - m) / (s + 1)) ** 0.5)) < 1e-6
+    found, strengths, _, _ = url_filter.levels(bad)
     a, b = found["domain"].where("domain = 'evil.org'").select("a", "b").first()
     x = np.random.default_rng(5).beta(a, b, 400_000)
     x = np.random.default_rng(6).beta(x * strengths["host"], np.maximum(1e-12, (1 - x) * strengths["host"]))
@@ -361,10 +594,105 @@ def test_urls_without_labels(spark):
     assert {r["verdict"] for r in url_filter.judge(pages, empty(bad), rules=()).collect()} == {"allow"}
 
 
+def test_urls_by_registered_domain(spark):
+    hosts = ["a.b.co.uk", "co.uk", "x.org:80", "x.org", "10.0.0.1:8080", "localhost", "", "a.b.c.d.net", "[::1]:80"]
+    got = spark.createDataFrame([(h,) for h in hosts], "host string").select("host", url_filter.domain_of(F.col("host")).alias("d"), url_filter.suffix_of(F.col("host")).alias("s")).collect()
+    assert {r["host"]: (r["d"], r["s"]) for r in got} == {
+        "a.b.co.uk": ("b.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "x.org:80": ("x.org", "org"), "x.org": ("x.org", "org"), "10.0.0.1:8080": ("10.0.0.1", ""), "localhost": ("localhost", "localhost"),
+        "": ("", ""), "a.b.c.d.net": ("d.net", "net"), "[::1]:80": ("[::1]", ""),
+    }
+
+
+def test_flow_of_overlapping_sources(spark):
+    """Documents of several sources: quotas are met where the flow can, and nothing is repeated while others are fresh."""
+    rows = [(i, "w " * 10, ["a", "b"] if i < 30 else ["b"] if i < 60 else ["c"] if i < 80 else ["a"] if i < 82 else [] if i < 84 else None) for i in range(90)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source array<string>")).collect()
+    taken, target, size = collections.Counter(), {}, collections.Counter()
+    for r in got:
+        taken[r["source"]] += r["taken"]
+        target[r["source"]], size[r["source"]] = r["target"], r["source_size"]
+    assert size == {"a": 320, "b": 600, "c": 200, None: 80}
+    assert all(abs(taken[s] - target[s]) <= 1 for s in target) and abs(sum(target.values()) - 900) < 1e-6
+    per_doc = {r["doc_id"]: r["doc_taken"] for r in got}
+    assert max(per_doc.values()) <= 30 and sum(per_doc.values()) == sum(taken.values())
+
+
+@pytest.mark.parametrize("limit", [common.BROADCAST_BYTES, 0])
+def test_blend_of_ties(spark, monkeypatch, limit):
+    """Rows of one id and one size, and rows repeated in full, are cut where the target is; a catalogue too large to be
+    broadcast gives the same."""
+    monkeypatch.setattr(mixing, "BROADCAST_BYTES", limit)
+    monkeypatch.setattr(mixing, "BUCKET_DOCS", 100)
+    rows = [(None, f"a b c d e f{i}", "x") for i in range(1000)] + [(None, "z y x w v u", "y")] * 1000 + [(i, f"q{i} a", "z") for i in range(3000)] + [(1, "", "z"), (2, None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    target = {r["source"]: r["target"] for r in mixing.mix(frame).collect()}
+    words_ = {r["source"]: r["n"] for r in mixing.blend(frame).groupBy("source").agg(F.sum(common.word_count(F.col("text"))).alias("n")).collect()}
+    assert all(abs(words_.get(s, 0) - t) <= 6 for s, t in target.items()), (words_, target)
+
+
+def test_markov_spans(spark, docs):
+    """The models' spans against a loop over the characters."""
+    table = secret_scan.train(secret_scan.samples(spark, docs))
+    rng = random.Random(12)
+    texts = [(i, " ".join("".join(rng.choice(secret_scan.ALPHABET) for _ in range(rng.randint(15, 50))) if rng.random() < 0.5 else "_".join(rng.choice(["value", "index", "internal", "of", "container"]) for _ in range(6)) for _ in range(5)) + rng.choice(["", "\u00fc", " \U0001d518 end"])) for i in range(40)]
+    at = {c: i for i, c in enumerate(secret_scan.ALPHABET)}
+    rounded = [float(f"{x:.3f}") for x in table]
+    found = 0
+    for r in secret_scan.digest(spark.createDataFrame(texts, "doc_id long, text string"), table).collect():
+        t = texts[r["doc_id"]][1]
+        base = spans_of(t)
+        want = [(a, k, b) for a, k, b in base]
+        for m in re.finditer(r"[A-Za-z0-9+/_=.-]{20,}", t):
+            w = m[0]
+            mean = sum(rounded[at[a] * len(at) + at[b]] for a, b in zip(w, w[1:])) / (len(w) - 1)
+            if mean > secret_scan.LIMIT:
+                place = m.start()
+                for a, _, b in base:
+                    if a < m.end() and b > m.start():
+                        want += [(place, 3, a)] if place < a else []
+                        place = max(place, b)
+                want += [(place, 3, m.end())] if place < m.end() else []
+        found += len(want)
+        assert r["spans"] == ",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in sorted(want)), t
+    assert found > 40
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_oracles(spark, name):
+    con = oracle.connection(DATA)
+    assert oracle.compare(queries.QUERIES[name](spark, DATA), con, queries.ORACLES[name]) == ""
+
+
+def test_nulls_only(spark):
+    """Tables of nothing but nulls: each operator gives a row for each row, or none where it says so."""
+    docs_ = spark.createDataFrame([(None, None, None, None)] * 3, "doc_id long, text string, lang string, source string").withColumn("n_chars", F.lit(None).cast("long"))
+    pages = spark.createDataFrame([(None, None, None)] * 3, "page_id long, url string, html string")
+    labels = spark.createDataFrame([(None, None, None)] * 3, "doc_id long, quality int, toxic int")
+    assert mixing.mix(docs_).count() == mixing.blend(docs_).count() + 3 == 3 or mixing.blend(docs_).count() <= 3
+    assert packing.pack(docs_, queries.tokenizer_path()).count() == 3
+    assert secret_scan.digest(docs_, secret_scan.train(secret_scan.samples(spark, docs_))).count() == 3
+    assert language_id.train(docs_) is None and language_id.identify(docs_, None).count() == 3
+    assert quality.rate(docs_, labels).where("base_failed and not kept").count() == 3
+    assert simhash.fingerprinted(docs_).select("n_equal", "n_near").distinct().collect() == [(3, 0)]
+    assert ngram_join.join(docs_).count() == 3 and ngram_join.one_of_each(docs_).count() == 1
+    assert html_extract.extract_all(pages).where("text = ''").count() == 3
+    assert substring_dedup.dedup(docs_).where("n_words = 0").count() == 3
+    assert url_filter.judge(pages, queries.page_outcomes(pages, labels)).where("verdict = 'allow' and host = ''").count() == 3
+
+
+def test_labels_that_clash(spark, docs):
+    """Labels with further columns, of both outcomes for one id, and repeated."""
+    labels = common.table(spark, DATA, "labels").withColumns({c: F.lit(1) for c in ("text", "features", "h", "n_words")})
+    both = labels.unionByName(labels.withColumn("quality", 1 - F.col("quality"))).unionByName(labels)
+    assert quality.rate(docs, both).count() == docs.count()
+    pages = common.table(spark, DATA, "pages")
+    assert url_filter.judge(pages, queries.page_outcomes(pages, both)).count() == pages.count()
+
+
 def test_queries_and_pipeline(spark, odd):
     import corpus_pipeline
 
-    odd_ = odd.withColumns({c: F.lit(1) for c in ("row", "lang_pred", "ambiguous")})
+    odd_ = odd.withColumns({c: F.lit(1) for c in ("row", "lang_pred", "ambiguous", "base", "spans", "_row", "dealt", "_own")})
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, odd_, DATA).columns == odd_.columns, name
         assert stage(spark, empty(odd_), DATA).count() == 0, name
