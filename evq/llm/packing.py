@@ -9,8 +9,9 @@ a split can have padding. Nothing is shuffled; memory is bounded by the shard.
 from __future__ import annotations
 
 import functools
+import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +24,12 @@ from .common import give_back
 
 WINDOW, END_ID = 2048, 1
 #: A shard is closed at so many bytes of text or documents.
-SHARD_BYTES, SHARD_DOCS = 4_000_000, 20_000
+SHARD_BYTES, SHARD_DOCS = 6_000_000, 20_000
 #: BM25 parameters, and how many neighbours are put in order at a time.
 K1, B, ORDERED = 1.2, 0.75, 64
 
+#: Words (and closing marks) whose ids a worker remembers.
+REMEMBERED = 400_000
 #: Words joined for one call of the tokenizer; between them a control character that is a token of its own.
 JOINED, BREAK = 200, "\x01"
 #: The byte-level alphabet's letter for the break, for where the tokenizer's own mapping of bytes is left out.
@@ -44,7 +47,7 @@ def ragged(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, pick: np.n
 
 
 class Encoder:
-    """Ids of whole shards, each distinct word encoded once.
+    """Ids of whole shards, each distinct word encoded once and remembered for the shards after, REMEMBERED at most.
 
     The tokenizer lowers case and never joins what ASCII white space separates, so a text's ids are those of its
     words one after another. Nor does it join a letter or digit to an ASCII mark behind it, so a word's closing marks
@@ -60,6 +63,7 @@ class Encoder:
         ends = [t.encode(b, add_special_tokens=False).ids for t, b in ((self.tokenizer, BREAK), (self.plain, PLAIN_BREAK))]
         assert ends[0] == ends[1] and len(ends[0]) == 1, "the tokenizer has no token of its own for the break"
         self.end = ends[0][0]
+        self.forget()
         # their strings are looked for in the text as it is, before all else
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
@@ -83,37 +87,53 @@ class Encoder:
 
         rare: whether a special token or the break may be in them."""
 
-        def holds(some: pa.Array, *what: str) -> pa.Array:
+        def holds(some: pa.Array, what: Sequence[str]) -> pa.Array:
             return functools.reduce(pc.or_, [pc.match_substring(some, t) for t in what]) if rare else pa.repeat(False, len(some))
 
         cut = pc.extract_regex(distinct, CLOSED)
-        whole = pc.or_(pc.is_null(cut), holds(distinct, *self.special))
+        whole = pc.or_(pc.is_null(cut), holds(distinct, self.special))
         heads = pc.if_else(whole, distinct, pc.struct_field(cut, "head"))
         tails = pc.if_else(whole, "", pc.struct_field(cut, "tail"))
         coded = pa.concat_arrays([heads, tails]).dictionary_encode()
-        atoms = coded.dictionary
-        plain = pc.match_substring_regex(atoms, "^[a-z]+$")
-        odd = holds(atoms, BREAK, *self.special)
-        kind = np.where(plain.to_numpy(zero_copy_only=False), 0, np.where(odd.to_numpy(zero_copy_only=False), 2, 1))
-        kind[pc.equal(atoms, "").to_numpy(zero_copy_only=False)] = 3
-        order = np.argsort(kind, kind="stable")
+        place = self.places(coded.dictionary, functools.partial(holds, what=(BREAK, *self.special)))
+        place = place[coded.indices.to_numpy()].reshape(2, -1).T.reshape(-1)
+        values, n = ragged(self.values, self.starts, self.sizes, place)
+        return values, n.reshape(-1, 2).sum(1)
+
+    def places(self, atoms: pa.Array, is_odd) -> np.ndarray:
+        """Where values holds the ids of each atom; atoms that no shard before had are encoded and remembered."""
+        if len(self.known) + len(atoms) > REMEMBERED:
+            self.forget()
+        place = pc.index_in(atoms, value_set=self.known)
+        is_new = pc.is_null(place)
+        new = atoms.filter(is_new)
+        plain = pc.match_substring_regex(new, "^[a-z]+$").to_numpy(zero_copy_only=False)
+        kind = np.where(plain, 0, np.where(is_odd(new).to_numpy(zero_copy_only=False), 2, 1))
+        kind[pc.equal(new, "").to_numpy(zero_copy_only=False)] = 3
+        order = pa.array(np.argsort(kind, kind="stable"))
         n_plain, n_other, n_odd, n_empty = np.bincount(kind, minlength=4)
-        sorted_atoms = atoms.take(pa.array(order)).to_pylist()
-        flat, sizes = [], []
-        for some, tokenizer, mark in ((sorted_atoms[:n_plain], self.plain, PLAIN_BREAK), (sorted_atoms[n_plain : n_plain + n_other], self.tokenizer, BREAK)):
-            f, n = self.parts(some, tokenizer, mark)
+        new = new.take(order)
+        some = new.to_pylist()
+        flat, sizes = [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
+        for part, tokenizer, mark in ((some[:n_plain], self.plain, PLAIN_BREAK), (some[n_plain : n_plain + n_other], self.tokenizer, BREAK)):
+            f, n = self.parts(part, tokenizer, mark)
             flat += f
             sizes += n
-        for w in sorted_atoms[n_plain + n_other : n_plain + n_other + n_odd]:
+        for w in some[n_plain + n_other : n_plain + n_other + n_odd]:
             ids = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, np.uint32)
             flat.append(ids)
             sizes.append(np.array([len(ids)]))
-        sizes.append(np.zeros(n_empty, np.int64))
-        values, n = np.concatenate(flat) if flat else np.empty(0, np.uint32), np.concatenate(sizes)
-        starts, size = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
-        starts[order], size[order] = np.cumsum(n) - n, n
-        values, n = ragged(values, starts, size, coded.indices.to_numpy().reshape(2, -1).T.reshape(-1))
-        return values, n.reshape(-1, 2).sum(1)
+        values, n = np.concatenate(flat), np.concatenate([*sizes, np.zeros(n_empty, np.int64)])
+        out = place.fill_null(0).to_numpy().astype(np.int64)
+        out[np.flatnonzero(is_new.to_numpy(zero_copy_only=False))[order.to_numpy()]] = len(self.known) + np.arange(len(n))
+        self.starts = np.concatenate((self.starts, len(self.values) + np.cumsum(n) - n))
+        self.values, self.sizes = np.concatenate((self.values, values)), np.concatenate((self.sizes, n))
+        self.known = pa.concat_arrays([self.known, new])
+        return out
+
+    def forget(self) -> None:
+        self.known = pa.array([], pa.string())
+        self.values, self.starts, self.sizes = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def shard(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all texts one after another, each with the end id; ids of each; word numbers of all; words of each."""
@@ -144,6 +164,7 @@ _ENCODERS: dict[str, Encoder] = {}
 
 def encoder(path: str) -> Encoder:
     if path not in _ENCODERS:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks run side by side already
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
 
