@@ -24,12 +24,12 @@ from .common import give_back
 
 WINDOW, END_ID = 2048, 1
 #: A shard is closed at so many bytes of text or documents.
-SHARD_BYTES, SHARD_DOCS = 6_000_000, 20_000
+SHARD_BYTES, SHARD_DOCS = 4_000_000, 20_000
 #: BM25 parameters, and how many neighbours are put in order at a time.
 K1, B, ORDERED = 1.2, 0.75, 64
 
 #: Words (and closing marks) whose ids a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 #: Words joined for one call of the tokenizer; between them a control character that is a token of its own.
 JOINED, BREAK = 200, "\x01"
 #: The byte-level alphabet's letter for the break, for where the tokenizer's own mapping of bytes is left out.
