@@ -13,6 +13,7 @@ from evq.operators import entities as E
 from evq.operators import lexical as L
 from evq.operators import quality as Q
 from evq.operators import relational as R
+from evq.operators import search_index as I
 from evq.operators import vectors as V
 from evq.sources import tables as S
 from evq.sources.build import table
@@ -407,23 +408,41 @@ def dq_latest_ties(spark, d):
 
 # --- lexical retrieval ---------------------------------------------------------------------------------------------
 
-TOK = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+')"
+TOK = "regexp_extract_all(replace(lower(nfc_normalize({})), 'ß', 'ss'), '[\\p{{L}}\\p{{N}}]+')"
 TEXT_TOK, SOURCE_TOK = TOK.format("text"), TOK.format("source")
 
 
-@query(f"SELECT doc_id, CAST(len({TEXT_TOK}) AS INT) AS n_tokens FROM documents")
+def index(spark, d):
+    return I.index_of(spark, f"{d}/documents.parquet", "doc_id", ["text", "source"])
+
+
+@query(f"SELECT count(*) AS n, sum(len({TEXT_TOK}) + len({SOURCE_TOK}))::BIGINT AS tokens FROM documents")
+def search_index(spark, d):
+    found = index(spark, d)
+    return spark.createDataFrame([(found.n, round(found.n * found.mean))], "n long, tokens long")
+
+
+@query("SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS tokens FROM documents")
 def tokenize(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.size(X.tokens(F.col("text"))).alias("n_tokens"))
+    return table(spark, d, "documents").select("doc_id", X.tokens(F.col("text")).alias("tokens"))
 
 
-@query(f"SELECT doc_id, field, term, count(*) AS tf FROM (SELECT doc_id, 'text' AS field, unnest({TEXT_TOK}) AS term FROM documents UNION ALL SELECT doc_id, 'source', unnest({SOURCE_TOK}) FROM documents) GROUP BY ALL")
+@query(f"SELECT doc_id, field, term, count(*) AS tf, min(pos) AS first FROM (SELECT doc_id, 'text' AS field, unnest({TEXT_TOK}) AS term, unnest(range(len({TEXT_TOK}))) AS pos FROM documents UNION ALL SELECT doc_id, 'source', unnest({SOURCE_TOK}), unnest(range(len({SOURCE_TOK}))) FROM documents) GROUP BY ALL")
 def postings(spark, d):
-    return L.postings(table(spark, d, "documents"), "doc_id", ["text", "source"])
+    field = F.element_at(F.array(F.lit("text"), F.lit("source")), (F.floor(F.col("p") / I.FIELD) + 1).cast("int"))
+    rows = index(spark, d).rows.select("doc_id", "term", F.explode("at").alias("p")).withColumn("field", field)
+    return rows.groupBy("doc_id", "field", "term").agg(F.count("*").alias("tf"), F.min(F.col("p") % I.FIELD).cast("long").alias("first"))
 
 
 @query(f"SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({TEXT_TOK}) AS term FROM documents) GROUP BY term")
 def corpus_stats(spark, d):
-    return table(spark, d, "documents").select(F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    return index(spark, d).rows.where(F.exists("at", lambda p: p < I.FIELD)).groupBy("term").agg(F.count("*").alias("df"))
+
+
+@query(f"SELECT count(*) AS n FROM (SELECT doc_id, len({TEXT_TOK}) + len({SOURCE_TOK}) AS n FROM documents) WHERE n < 0")
+def dq_index_tokens(spark, d):
+    fold = F.lower(F.concat_ws(" ", "text", "source"))  # sharp s is one letter in either form, so the counts agree
+    return I.disagreements(index(spark, d), table(spark, d, "documents"), F.regexp_count(fold, F.lit(X.TOKEN))).agg(F.count("*").alias("n"))
 
 
 def bm25_sql(scope: str = "TRUE", top: str = "") -> str:
@@ -435,36 +454,51 @@ def bm25_sql(scope: str = "TRUE", top: str = "") -> str:
     return f"WITH a AS (SELECT doc_id, lang, n_chars, {TEXT_TOK} AS t, {SOURCE_TOK} AS s FROM documents), b AS (SELECT doc_id, lang, n_chars, len(t) + len(s) AS size, {cols} FROM a), c AS (SELECT count(*) AS n, avg(size) AS average, {stats} FROM b) SELECT doc_id, round({parts}, 6) AS bm25 FROM b, c WHERE ({hit}) AND {scope} {top}"
 
 
+def scored(spark, d, scope=None):
+    return index(spark, d).bm25(TERMS, FIELDS, scope).withColumn("bm25", F.round("bm25", 6))
+
+
 @query(bm25_sql())
 def bm25_or(spark, d):
-    return L.bm25(table(spark, d, "documents"), TERMS, FIELDS).select("doc_id", F.round("bm25", 6).alias("bm25"))
+    return scored(spark, d).select("doc_id", "bm25")
+
+
+@query(bm25_sql())
+def bm25_scan(spark, d):
+    """The same without an index: one pass over the texts."""
+    folded = F.pandas_udf(lambda s: s.str.normalize("NFC").str.casefold(), "string")
+    return L.bm25(table(spark, d, "documents").withColumn("text", folded("text")), TERMS, FIELDS).select("doc_id", F.round("bm25", 6).alias("bm25"))
 
 
 @query(bm25_sql("lang = 'en' AND n_chars > 500"))
 def bm25_scoped(spark, d):
-    return L.bm25(table(spark, d, "documents"), TERMS, FIELDS, (F.col("lang") == "en") & (F.col("n_chars") > 500)).select("doc_id", F.round("bm25", 6).alias("bm25"))
+    return scored(spark, d, table(spark, d, "documents").where("lang = 'en' AND n_chars > 500")).select("doc_id", "bm25")
 
 
-@query(bm25_sql(top="ORDER BY bm25 DESC, doc_id LIMIT 20"))
+@query(f"SELECT row_number() OVER (ORDER BY bm25 DESC, doc_id % 7 DESC, doc_id) AS position, doc_id, bm25 FROM ({bm25_sql()}) ORDER BY position LIMIT 20")
 def bm25_top(spark, d):
-    rows = L.bm25(table(spark, d, "documents"), TERMS, FIELDS).select("doc_id", F.round("bm25", 6).alias("bm25"))
-    return rows.orderBy(F.desc("bm25"), "doc_id").limit(20)
+    """The newest first among equal scores: the day of a document stands in for its date."""
+    rows = scored(spark, d).select("doc_id", "bm25")
+    top = rows.orderBy(F.desc("bm25"), F.desc(F.col("doc_id") % 7), "doc_id").limit(20)
+    return top.select(F.row_number().over(Window.orderBy(F.desc("bm25"), F.desc(F.col("doc_id") % 7), "doc_id")).alias("position"), "doc_id", "bm25")
 
 
 @query(f"SELECT doc_id FROM documents WHERE contains(' ' || array_to_string({TEXT_TOK}, ' ') || ' ', ' of the ')")
 def phrase_match(spark, d):
-    return table(spark, d, "documents").where(L.occurrences(X.tokens(F.col("text")), "of the") > 0).select("doc_id")
+    return index(spark, d).places("of the", 0, {"text": 1.0}).select("doc_id")
 
 
 @query(f"SELECT doc_id, array_to_string(list_filter(['clown', 'moron', 'worthless'], lambda w: list_contains({TEXT_TOK}, w)), ',') AS matched FROM documents WHERE list_has_any({TEXT_TOK}, ['clown', 'moron', 'worthless'])")
 def matched_fields(spark, d):
-    return L.counted(table(spark, d, "documents"), TERMS, {"text": 1.0}).select("doc_id", F.array_join(L.matched(TERMS), ",").alias("matched")).where("matched <> ''")
+    rows = index(spark, d).bm25(TERMS, {"text": 1.0})
+    return rows.select("doc_id", F.array_join(F.transform("matched", lambda q: F.element_at(F.array(*map(F.lit, TERMS)), q + 1)), ",").alias("matched"))
 
 
-@query(f"SELECT count(*) AS filtered, count(*) FILTER (list_has_any({TEXT_TOK}, ['clown', 'moron', 'worthless'])) AS matched FROM documents WHERE lang = 'en'")
+@query(f"SELECT count(*) AS filtered, count(*) FILTER (list_has_any({TEXT_TOK}, ['clown', 'moron', 'worthless'])) AS matched, count(*) FILTER (list_has_any({TEXT_TOK}, ['clown', 'moron', 'worthless'])) < 20 AS fewer_than_k FROM documents WHERE lang = 'en'")
 def filtered_matched_counts(spark, d):
-    rows = L.counted(table(spark, d, "documents").where("lang = 'en'"), TERMS, {"text": 1.0})
-    return rows.agg(F.count("*").alias("filtered"), F.count_if(F.exists("_in", lambda x: x)).alias("matched"))
+    scope = table(spark, d, "documents").where("lang = 'en'")
+    hits = index(spark, d).bm25(TERMS, {"text": 1.0}, scope).select("doc_id", F.lit(1).alias("hit"))
+    return scope.select("doc_id").join(hits, "doc_id", "left").agg(F.count("*").alias("filtered"), F.count("hit").alias("matched"), (F.count("hit") < 20).alias("fewer_than_k"))
 
 
 @query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 20")
