@@ -30,7 +30,8 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+    """Null for a null vector and for one without direction."""
+    return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
 def scored(vectors: DataFrame, query: Sequence[float], column: str = "embedding") -> DataFrame:
@@ -39,14 +40,18 @@ def scored(vectors: DataFrame, query: Sequence[float], column: str = "embedding"
 
 
 def scored_in_bulk(vectors: DataFrame, query: Sequence[float], key: str, column: str = "embedding") -> DataFrame:
-    """key and score by matrix products over Arrow batches, for very many vectors."""
+    """key and score by matrix products over Arrow batches, for very many vectors; null as in cosine()."""
     q = np.asarray(query, np.float64)
     q = q / (np.linalg.norm(q) or 1)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            m = np.asarray(b.column(1).flatten(), np.float64).reshape(-1, len(q))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(m @ q / np.linalg.norm(m, axis=1))], [key, "score"])
+            there = np.asarray(b.column(1).is_valid())
+            m = np.asarray(b.column(1).drop_null().flatten(), np.float64).reshape(-1, len(q))
+            norm = np.linalg.norm(m, axis=1)
+            score, known = np.zeros(b.num_rows), np.zeros(b.num_rows, bool)
+            score[there], known[there] = m @ q / np.where(norm > 0, norm, 1), (norm > 0) & bool(q.any())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score, mask=~known)], [key, "score"])
 
     return vectors.select(key, column).mapInArrow(rows, f"{key} {vectors.schema[key].dataType.simpleString()}, score double")
 
@@ -58,13 +63,17 @@ def best_per(rows: DataFrame, key: str, score: str, position: str) -> DataFrame:
 
 
 def depth(rows: DataFrame, score: str, name: str, cut: int = DEPTH) -> DataFrame:
-    """Competition ranks up to cut; ties at the cut stay.
+    """Competition ranks up to cut; ties at the cut stay. Rows without a score have no rank.
 
-    Rows below the cut-th score can't stay, so a top-k finds that score first and only what is left is ranked.
+    Rows below the cut-th score can't stay, so a top-k finds that score first. Above it are cut different scores at
+    most: they are ranked by counting, and joined back, so however many rows are tied none of them meet in a task.
     """
-    edge = rows.select(F.col(score).alias("_s")).orderBy(F.desc("_s")).limit(cut).agg(F.min("_s").alias("_edge"))
+    edge = rows.select(F.col(score).alias("_s")).where("_s is not null").orderBy(F.desc("_s")).limit(cut).agg(F.min("_s").alias("_edge"))
     near = rows.join(F.broadcast(edge), F.col(score) >= F.col("_edge")).drop("_edge")
-    return near.withColumn(name, F.rank().over(Window.orderBy(F.desc(score))))
+    before = Window.orderBy(F.desc("_s")).rowsBetween(Window.unboundedPreceding, -1)
+    counted = near.groupBy(F.col(score).alias("_s")).agg(F.count("*").alias("_n"))
+    ranked = counted.select("_s", (F.coalesce(F.sum("_n").over(before), F.lit(0)) + 1).cast("int").alias(name))
+    return near.join(F.broadcast(ranked), F.col(score) == F.col("_s")).drop("_s")
 
 
 def rrf(*ranks: Column) -> Column:
