@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+import time
+from collections.abc import Callable, Sequence
 from statistics import mean, median
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}")
@@ -75,3 +76,47 @@ def summarize(results: Sequence[dict]) -> dict:
 def markdown(summary: dict) -> str:
     rows = [f"| {k} | {v['n']} | {v['correct']} |" for k, v in summary["by_category"].items()]
     return "\n".join(["| category | n | correct |", "| --- | --- | --- |", *rows])
+
+
+def failures(results: Sequence[dict]) -> list[dict]:
+    """Results whose answer was withheld for what it said."""
+    return [r for r in results if r.get("status") == "error" and any(str(x).startswith(("ungrounded", "missing_citation", "bad_citation", "denies", "summed")) for x in r.get("reasons", ()))]
+
+
+def lookup(results: Sequence[dict], key: str) -> dict | None:
+    return next((r for r in results if str(r.get("id")) == str(key)), None)
+
+
+def question_set(rows: Sequence[dict], n: int | None = None) -> list[dict]:
+    """A set of questions for an evaluation: each with an id of its own and a text, all visible, n of them if given."""
+    ids = [r.get("id") for r in rows]
+    if n is not None and len(rows) != n:
+        raise ValueError(f"{len(rows)} questions, not {n}")
+    if len(set(ids)) != len(ids) or not all(r.get("id") is not None and str(r.get("question", "")).strip() for r in rows):
+        raise ValueError("each question needs an id of its own and a text")
+    if any(r.get("split", "visible") != "visible" for r in rows):
+        raise ValueError("only visible questions may be run")
+    return [plain(r) for r in rows]
+
+
+def plain(value):
+    """Values as JSON has them: dates, decimals and the like as text."""
+    if isinstance(value, dict):
+        return {str(k): plain(v) for k, v in value.items()}
+    if isinstance(value, (list, tuple, set, frozenset)):
+        return [plain(v) for v in (sorted(value, key=str) if isinstance(value, (set, frozenset)) else value)]
+    return value if isinstance(value, (str, int, float, bool)) or value is None else str(value)
+
+
+def run(questions: Sequence[dict], answer: Callable[[str], dict]) -> list[dict]:
+    """Asks and scores every question; one that fails is a result too."""
+    out = []
+    for q in questions:
+        began = time.perf_counter()
+        try:
+            got = answer(q["question"])
+        except Exception as e:
+            got = {"status": "error", "reasons": [type(e).__name__], "evidence": {}, "answer": ""}
+        told = score(q, got)
+        out.append(plain({"id": q["id"], "category": q.get("category"), "status": got["status"], "reasons": got.get("reasons", []), "correct": told["correct"], "checks": told["checks"], "ms": round((time.perf_counter() - began) * 1000, 1)}))
+    return out

@@ -1,15 +1,17 @@
 """Fixtures of the reference's kind: accept and reject tables, rules and adapters."""
 
 import hashlib
+import sys
 
 import pytest
 from pyspark.sql import functions as F
 
 from evq import queries
 from evq.operators import entities, lexical, quality, vectors
-from evq.plans import dialect, evaluate, grounding, routing
+from evq.plans import dialect, evaluate, grounding, resolution, routing
 from evq.plans.guard import Guard, masked, scan
-from evq.plans.service import HashEmbedder, Scripted, Service, parse_reply
+from evq.plans.retrieval import Evidence
+from evq.plans.service import CachedEmbedder, CommandModel, HashEmbedder, ModelError, Scripted, Service, parse_reply
 from evq.sources import build, cli, tables, vector_store
 from evq.streaming.latest import latest_stream
 
@@ -207,18 +209,75 @@ def test_reader_of_dates():
 
 
 def test_service(spark):
-    guard = Guard(spark, {"orders_view": spark.createDataFrame([("A1", 10.5)], "client string, amount double")})
-    sql = '```json\n{"sql": "SELECT sum(amount) AS total FROM orders_view"}\n```'
-    make = lambda *replies: Service(guard, {"orders_view": "investment"}, Scripted(*replies), lambda q, t: [])
-    assert make(sql, "It is 10.5 [investments].").answer("What is the total amount invested by A1?").status == "ok"
-    assert make(sql, "It is 11.5 [investments].").answer("What is the total amount invested by A1?").status == "error"
-    assert make().answer("  ").status == "clarification"
-    assert make("no json").answer("What is the total amount invested by A1?").reasons == ["internal_error:JSONDecodeError"]
+    orders = spark.createDataFrame([("A1", 10.5, "F"), ("A1", 4.0, "O")], "client_id string, amount double, status string")
+    guard = Guard(spark, {"orders_view": orders, "moves": orders.select("client_id")})
+    notes = Guard(spark, {"notes": spark.createDataFrame([("A1", 1), ("A1", 2)], "client_id string, id int")})
+    words = resolution.dictionary([("client", "client_id", s, spark.createDataFrame([(c, c) for c in cs], "value string, said string")) for s, cs in (("investments", ["A1", "B1"]), ("meetings", ["A1"]))])
+    resolver = resolution.Resolver(words.cache())
+    hits = Evidence("ok", [{"id": 7, "day": "2024-01-02", "snippet": "Costs came up.", "rank": 1}], 3, 1, True, "bm25")
+    sql = lambda text: '```json\n{"sql": "%s"}\n```' % text
+    total = sql("SELECT sum(amount) AS total FROM orders_view WHERE client_id = 'A1'")
+
+    def ask(question, *replies, found=hits, names=resolver):
+        return Service(guard, {"orders_view": "investment", "moves": "performance"}, Scripted(*replies), lambda q, m: found, names, notes).answer(question)
+
+    invested = "What is the total amount invested by client A1?"
+    got = ask(invested, total, "It is 14.5 [investments].")
+    assert (got.status, got.route, got.answer) == ("ok", "investment", "It is 14.5 [investments].") and "read_only_one_source" in got.evidence["structured"]["rules"]
+    assert ask(invested, total, "It is 11.5 [investments].").reasons == ["ungrounded_number:11.5"]
+    assert ask(invested, sql("SELECT sum(amount) AS total FROM orders_view")).reasons == ["missing_entity:A1"]
+    assert ask(invested, sql("SELECT client_id FROM moves WHERE client_id = 'A1'")).reasons == ["wrong_source"]
+    assert ask(invested, '{"unsupported": "no such field"}').status == "unsupported" and ask(invested, "no json").reasons == ["internal_error:JSONDecodeError"]
+    assert ask(invested).reasons == ["internal_error:RuntimeError"] and ask("  ").status == "clarification"
+    assert ask("What is the total amount invested by D77777?").reasons == ["not_found:D77777"]
+    assert ask(invested, sql("SELECT amount FROM orders_view WHERE client_id = 'A1' AND amount > 99")).answer == "There is no data for this in the source."
+    said = "What concerns were raised in client A1's meetings?"
+    assert ask(said, "Costs [meeting: 7, 2024-01-02].").status == "ok" and ask(said, "Costs [meeting: 8, 2024-01-02].").status == "error"
+    assert ask(said, found=Evidence("no_lexical_match", [], 3)).answer == "No meeting of those in scope holds these words."
+    assert ask(said, found=Evidence("unsupported_rm", [])).status == "unsupported" and ask(said, found=Evidence("no_terms", [])).status == "clarification"
+    assert ask("Which meetings of client A1 happened since 2024-03-01?").reasons == ["date_relation"]
+    assert ask("How many meetings took place with client A1?", sql("SELECT count(*) AS n FROM notes WHERE client_id = 'A1'"), "2 [meetings].").status == "ok"
+    assert ask("How many meetings took place with client A1?", sql("SELECT count(*) AS n FROM notes a JOIN notes b ON a.id = b.id WHERE a.client_id = 'A1'")).reasons == ["join_not_allowed"]
+    assert ask("How many meetings took place with client B1?").reasons == ["no_data_for_entity:B1"]
+    both = "How many investment records and how many meetings does client A1 have?"
+    counted = sql("SELECT count(*) AS n FROM orders_view WHERE client_id = 'A1'"), sql("SELECT count(*) AS n FROM notes WHERE client_id = 'A1'")
+    assert ask(both, *counted, "2 [investments] and 2 [meetings].").status == "ok"
+    assert "summed_across_sources:4" in ask(both, *counted, "4 [investments] [meetings].").reasons
+    assert "hybrid_partial_failure" in ask(both, counted[0], sql("DELETE FROM notes")).reasons
+    assert ask("What is the IRR of client A1?", names=None).reasons == ["unavailable_metric:irr"]
     assert parse_reply('{"sql": "x"}') == {"sql": "x"}
     assert HashEmbedder().embed(["a b"]) == HashEmbedder().embed(["B a"])
     assert routing.semantic_text("What did they not discuss about hedging?") == "not hedging"
 
 
+def test_adapters():
+    assert CommandModel([sys.executable, "-c", "import sys; print(sys.stdin.read()[::-1])"]).run("abc").strip() == "cba"
+    for command, code in (([sys.executable, "-c", "import time; time.sleep(9)"], "timeout"), ([sys.executable, "-c", "raise SystemExit(3)"], "failed"), ([sys.executable, "-c", ""], "empty"), (["no-such-command"], "not_installed")):
+        with pytest.raises(ModelError) as e:
+            CommandModel(command, 1.0).run("x")
+        assert e.value.code == code
+    calls = []
+
+    class Once:
+        def embed(self, texts):
+            calls.append(list(texts))
+            return [[1.0, 2.0] for _ in texts]
+
+    cached = CachedEmbedder(Once(), 2)
+    assert cached.embed(["a", "b", "a"]) == [[1.0, 2.0]] * 3 == cached.embed(["b", "a", "a"]) and calls == [["a", "b"]]
+    with pytest.raises(ModelError):
+        CachedEmbedder(Once(), 3).embed(["a"])
+
+
+def test_evaluation_run():
+    questions = evaluate.question_set([{"id": 1, "question": "x", "category": "c", "values": [3]}, {"id": 2, "question": "y", "category": "c"}], 2)
+    results = evaluate.run(questions, lambda q: {"status": "ok", "evidence": {"rows": [(3,)]}, "answer": ""} if q == "x" else {"status": "error", "reasons": ["ungrounded_number:4"], "evidence": {}, "answer": ""})
+    assert [r["correct"] for r in results] == [True, False] and evaluate.failures(results) == [results[1]] and evaluate.lookup(results, "2") == results[1]
+    for bad in ([{"id": 1, "question": ""}], [{"id": 1, "question": "x"}] * 2, [{"id": 1, "question": "x", "split": "held"}]):
+        with pytest.raises(ValueError):
+            evaluate.question_set(bad)
+
+
 def test_evaluation():
     trace = evaluate.Trace()
     trace.record("a", duration_ms=2, note="me@x.org")
