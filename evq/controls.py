@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evq.plans import grounding, routing
+from evq.plans import grounding, resolution, retrieval, routing
 from evq.plans.guard import Guard, single_object_issues
 from evq.sources.build import table
 
@@ -113,6 +113,35 @@ ANSWERS = {
 }
 
 
+#: type or context, form, source, value, said: a small dictionary, with what it must say to names and questions.
+NAMED = [
+    *(("client", "client_id", "investments", c, c) for c in ("A12345", "B12345")), ("client", "client_id", "meetings", "A12345", "A12345"), ("client", "client_id", "meetings", "C12345", "C12345"),
+    ("client", "client_name", "investments", "A12345", "Client_A12345"), ("deal_id", "deal_id", "investments", "DL100001", "DL100001"),
+    ("rm", "account_rm", "investments", "Ann Lee", "Ann Lee"), ("rm", "account_rm", "investments", "Ann Lee Moss", "Ann Lee Moss"), ("attendee", "attendee", "meetings", "Ann Lee", "Ann Lee"), ("company", "company", "meetings", "Blue Fir", "Blue Fir"),
+]
+NAMES = {
+    "A12345": "resolved:A12345:exact", "client a12345": "resolved:A12345:normalized", "12345": "ambiguous::numeric_suffix", "54321": "not_found::numeric_suffix", "A99999": "not_found::no_match",
+    "DL100001": "resolved:DL100001:exact", "ann LEE": "resolved:Ann Lee:normalized", "Lee": "ambiguous::partial", "Blue Fir": "not_found::meeting_text", "group 7": "resolved:7:exact", "group 9": "not_found::no_match",
+}
+MENTIONED = {
+    "Did Ann Lee Moss meet A12345?": "Ann Lee Moss,A12345",
+    "Group 7 or 12345 on private equity": "Group 7,12345",
+    "Who asked D77777 about Blue Fir?": "D77777,Blue Fir",
+    "Nothing named here": "",
+}
+#: source and question: what the gate says before evidence is read.
+GATED = {
+    "investments: total of A12345": "open", "investments: total of C12345": "no_data", "performance: AUM of Ann Lee Moss": "no_data", "meetings: of Ann Lee Moss": "unsupported", "meetings: on DL100001": "unsupported",
+    "meetings: of 12345": "clarification_needed", "meetings: of D77777": "entity_not_found", "meetings: with Blue Fir": "open", "investments: of Blue Fir": "entity_not_found",
+}
+DERIVED = {
+    'What did they say about "capital calls" and hedging?': "hedging|capital calls||",
+    "Action items on pricing from 2024-05-01": "pricing||2024-05-01|actions",
+    "List the meetings": "|||",
+    "Which \"x\" was raised about fees": "fees|||",
+}
+
+
 def values(rows: dict[str, str], key: str, value: str) -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     return f"SELECT * FROM (VALUES {', '.join(f'({quote(k)}, {quote(v)})' for k, v in rows.items())}) t({key}, {value})"
@@ -202,7 +231,40 @@ def citation_check(spark, d):
     return spark.createDataFrame(got, "answer string, issues string")
 
 
+def resolver(spark, d):
+    told = spark.createDataFrame(NAMED, "etype string, form string, source string, value string, said string")
+    parts = [(e, f, s, told.where((F.col("etype") == e) & (F.col("form") == f) & (F.col("source") == s)).select("value", "said")) for e, f, s in dict.fromkeys(n[:3] for n in NAMED)]
+    members = spark.createDataFrame([("investments", 7, "A12345"), ("meetings", 7, "C12345")], "source string, group_id int, client string")
+    return resolution.Resolver(resolution.dictionary(parts).cache(), members)
+
+
+def resolve_names(spark, d):
+    known = resolver(spark, d)
+    got = [(t, f"{r.status}:{r.canonical or ''}:{r.rule}") for t in NAMES for r in [known.resolve(t)]]
+    return spark.createDataFrame(got, "said string, resolution string")
+
+
+def question_mentions(spark, d):
+    known = resolver(spark, d)
+    return spark.createDataFrame([(q, ",".join(m.text for m in known.in_question(q))) for q in MENTIONED], "question string, mentions string")
+
+
+def entity_gates(spark, d):
+    known = resolver(spark, d)
+    got = [(q, resolution.gate(known.in_question(q.partition(": ")[2]), q.partition(":")[0]).outcome) for q in GATED]
+    return spark.createDataFrame(got, "question string, outcome string")
+
+
+def derived_terms(spark, d):
+    got = [(q, "|".join((",".join(a.terms), ",".join(a.phrases), a.day or "", "actions" if a.actions else ""))) for q in DERIVED for a in [retrieval.asked(q)]]
+    return spark.createDataFrame(got, "question string, derived string")
+
+
 QUERIES = {
+    "resolve_names": (resolve_names, values(NAMES, "said", "resolution")),
+    "question_mentions": (question_mentions, values(MENTIONED, "question", "mentions")),
+    "entity_gates": (entity_gates, values(GATED, "question", "outcome")),
+    "derived_terms": (derived_terms, values(DERIVED, "question", "derived")),
     "date_relation": (date_relation, values(RELATIONS, "question", "relation")),
     "requested_fields": (requested_fields, values(FIELDS, "question", "fields")),
     "citation_check": (citation_check, values(CITATIONS, "answer", "issues")),

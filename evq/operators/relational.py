@@ -54,3 +54,23 @@ def capped(df: DataFrame, cap: int = 50) -> tuple[list, bool]:
     """At most cap rows on the driver, and whether there were more."""
     rows = df.limit(cap + 1).collect()
     return rows[:cap], len(rows) > cap
+
+
+def numbered(df: DataFrame, key: str, order: Sequence[str], name: str, per_bucket: int = 100_000) -> DataFrame:
+    """df with name: 0, 1, 2, ... by order, whose first column is key, a number.
+
+    Rows are dealt into buckets at quantiles of the key, and counted; a window numbers the rows of a bucket and the
+    buckets before it are added. So no task sees more than a bucket, unless one key is larger than that.
+    """
+    n = df.count()
+    cuts = min(10_000, n // per_bucket)
+    points = sorted(set(df.agg(F.percentile_approx(key, [i / (cuts + 1) for i in range(1, cuts + 1)], 10 * cuts + 100)).first()[0] or [])) if cuts else []
+    bucket = F.size(F.filter(F.array(*map(F.lit, points)), lambda p: p < F.col(key))) if points else F.lit(0)
+    rows = df.withColumn("_bucket", bucket)
+    sizes = {r["_bucket"]: r["count"] for r in rows.groupBy("_bucket").count().collect()}
+    before, at = {}, 0
+    for b in sorted(sizes):
+        before[b], at = at, at + sizes[b]
+    offset = F.create_map(*(F.lit(x) for item in before.items() for x in item))[F.col("_bucket")] if before else F.lit(0)
+    place = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order))
+    return rows.withColumn(name, (place - 1 + offset).cast("long")).drop("_bucket")

@@ -661,6 +661,47 @@ def mention_extract(spark, d):
     return E.mentions(asked, "c_custkey", "question", dictionary(spark, d).where("etype = 'client'")).select("c_custkey", "value")
 
 
+# --- catalog, numbering, lookups, sentences with vectors -----------------------------------------------------------
+
+
+@query("SELECT 'customer' AS table_name, column_name FROM (DESCRIBE customer) UNION ALL SELECT 'orders', column_name FROM (DESCRIBE orders) UNION ALL SELECT 'nation', column_name FROM (DESCRIBE nation)")
+def dq_catalog(spark, d):
+    found = [(t, c) for t in ("customer", "orders", "nation") for c in table(spark, d, t).columns]
+    return spark.createDataFrame(found, "table_name string, column_name string")
+
+
+@query(f"WITH r AS (SELECT doc_id, unnest(range(0, len(s))) AS pos, unnest(s) AS sentence FROM (SELECT doc_id, {SENT} AS s FROM documents)), f AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY sentence ORDER BY doc_id, pos) = 1) SELECT row_number() OVER (ORDER BY doc_id, pos) - 1 AS sentence_id, doc_id, CAST(pos AS INT) AS pos FROM f")
+def sentence_ids(spark, d):
+    seen = V.first_seen(V.sentence_rows(table(spark, d, "documents"), "doc_id", "text"), "doc_id").select("doc_id", "pos")
+    return R.numbered(seen, "doc_id", ["doc_id", "pos"], "sentence_id", 2000)
+
+
+@query(f"SELECT d.doc_id, d.lang, d.n_chars FROM documents d JOIN ({BEST}) b ON b.doc_id = d.doc_id")
+def point_lookups(spark, d):
+    """What is shown of the final hits: one join on at most twenty ids."""
+    return table(spark, d, "documents").join(F.broadcast(fused_topk(spark, d).select("doc_id")), "doc_id").select("doc_id", "lang", "n_chars")
+
+
+SENT_VEC = f"SELECT doc_id, pos, score FROM (SELECT doc_id, unnest(range(0, len(s))) AS pos FROM (SELECT doc_id, {SENT} AS s FROM documents)) r JOIN ({COS}) v ON v.vec_id = (r.doc_id * 7 + r.pos) % (SELECT count(*) FROM embeddings)"
+
+
+@query(f"SELECT doc_id, score, CAST(pos AS INT) AS pos FROM ({SENT_VEC}) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos) = 1")
+def best_sentence(spark, d):
+    """Sentences meet their vectors, whose scores are made once each."""
+    rows = V.sentence_rows(table(spark, d, "documents"), "doc_id", "text").select("doc_id", "pos")
+    n = table(spark, d, "embeddings").count()
+    scored_ = rows.withColumn("vec_id", (F.col("doc_id") * 7 + F.col("pos")) % n).join(vector_scores(spark, d).select("vec_id", "score"), "vec_id")
+    return V.best_per(scored_, "doc_id", "score", "pos")
+
+
+@query(f"SELECT (SELECT count(*) FROM documents WHERE lang = 'en') AS lexical, (SELECT count(DISTINCT doc_id) FROM ({SENT_VEC}) WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en')) AS semantic")
+def scope_agrees(spark, d):
+    """Both sides of a hybrid search see one scope."""
+    scope = table(spark, d, "documents").where("lang = 'en'").select("doc_id")
+    inside = V.sentence_rows(table(spark, d, "documents").join(scope, "doc_id", "left_semi"), "doc_id", "text").select("doc_id").distinct()
+    return spark.createDataFrame([(scope.count(), inside.count())], "lexical long, semantic long")
+
+
 from evq import controls  # noqa: E402
 
 for _name, (_f, _sql) in controls.QUERIES.items():
