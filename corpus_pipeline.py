@@ -11,7 +11,12 @@ from evq.llm.queries import tokenizer_path
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a letter and those whose language is ambiguous; fills in a missing lang."""
+    """Rejects documents without a letter and those whose language is ambiguous; fills in a missing lang.
+
+    Null and empty texts have no letter and go; a null lang takes the predicted one, a given one stays. Without any
+    labelled text nothing is ambiguous and every text with a letter stays. Repeated rows are judged alike, whole texts
+    of any length are read, columns of any name are kept, and an empty table gives an empty one.
+    """
     short_batches(spark)
     model = language_id.train(docs)
     rows = docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
@@ -23,23 +28,27 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of copies and near copies stays."""
+    """One document of each group of copies and near copies stays: the one with the least id (nulls last), ties by a
+    hash of the text. Documents without words stay, one for each id; of rows repeated in full one stays."""
     short_batches(spark)
     return ngram_join.one_of_each(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in the texts are replaced by a mark; n_chars follows the text where it changed."""
+    """Secrets in the texts are replaced by a mark; n_chars follows the text, and stays as it is where that is null."""
     table_ = secret_scan.train(secret_scan.samples(spark, docs))
     return secret_scan.redact(docs, table_).withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them, none more than three times; a null source is one too. Empty
+    documents weigh nothing and are taken with their source's full passes."""
     return mixing.blend(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences: a null or empty text is the end id alone, a long one is cut wherever a
+    sequence ends, repeated rows are documents of their own, and an empty table gives no rows."""
     short_batches(spark)
     return packing.pack(docs, tokenizer_path())
 
@@ -49,6 +58,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over documents, each written to the shared checkpoint folder before the next one reads it."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = checkpointed(stage(spark, docs, sf_dir))
