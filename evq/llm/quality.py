@@ -150,7 +150,7 @@ def flat(table: np.ndarray, roots: Sequence[int], base: float) -> Trees:
 
 
 def measure(docs: DataFrame) -> DataFrame:
-    """doc_id, COUNTS and the features, one row a document."""
+    """doc_id, COUNTS and the features, one row for each row of docs: whole texts, null and empty ones with zeros."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
