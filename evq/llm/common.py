@@ -83,8 +83,10 @@ def joined_to_one(rows: DataFrame, table: DataFrame, key: str, hot: list, spread
     is_hot = F.col(key).isin(hot)
     told = table.select(key, F.struct(*names).alias("_told"))
     few = told.where(is_hot).withColumnRenamed("_told", "_few")
-    rest = told.where(~is_hot).withColumn("_dealt", F.lit(0).cast("long"))
-    dealt = rows.withColumn("_dealt", F.when(is_hot, spread.bitwiseOR(F.lit(1))).otherwise(F.lit(0)).cast("long"))
+    # 0 as the optimizer can't see it: it would take a literal out of the join's keys, and hot rows would meet again
+    zero = F.xxhash64(key).bitwiseAND(F.lit(0).cast("long"))
+    rest = told.where(~is_hot).withColumn("_dealt", zero)
+    dealt = rows.withColumn("_dealt", F.when(is_hot, spread.bitwiseOR(F.lit(1).cast("long"))).otherwise(zero))
     out = dealt.join(rest, [key, "_dealt"], "left").join(F.broadcast(few), key, "left").withColumn("_one", F.coalesce("_few", "_told"))
     return out.where("_one is not null").select(*rows.columns, *(F.col(f"_one.{c}").alias(c) for c in names))
 
