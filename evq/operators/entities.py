@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from evq.functions.text import tokens
 
 CANDIDATES = 10
+#: A dictionary up to so many bytes, with what a row takes besides its texts, may be broadcast.
+BROADCAST_BYTES, NAME_BYTES = 8 << 20, 64
 
 
 def normal(text: Column) -> Column:
@@ -58,16 +60,22 @@ def mentions(texts: DataFrame, key: str, text: str, words: DataFrame, longest: i
     """key, at, size, etype, value: names in many texts, the longest first and none overlapping.
 
     Runs of tokens are looked up by an equi-join, in every length that a name of the dictionary has (or those up to
-    longest, if it's given); which of the overlapping ones stay is decided per text.
+    longest, if it's given); which of the overlapping ones stay is decided per text, and only those meet their names.
+    The planner takes runs for as small as the file of their texts and would send them all through the driver, so the
+    joins are told: the dictionary is broadcast if its counted bytes are few, else both sides are sorted and merged.
     """
-    sizes = sorted(r[0] for r in words.where("key is not null").select(F.size(F.split("key", " "))).distinct().collect())
-    sizes = [n for n in sizes if longest is None or n <= longest] or [1]
-    runs = texts.select(key, tokens(F.col(text)).alias("t")).select(key, F.explode(F.flatten(F.transform(F.array(*map(F.lit, sizes)), lambda n: F.when(F.size("t") >= n, F.transform(F.sequence(F.lit(1), F.size("t") - n + 1), lambda i: F.struct(i.alias("at"), n.alias("size"), F.array_join(F.slice("t", i, n), " ").alias("k")))).otherwise(F.array().cast("array<struct<at:int,size:int,k:string>>"))))).alias("r"))
-    found = runs.select(key, "r.at", "r.size", F.col("r.k").alias("key_")).join(words.select(F.col("key").alias("key_"), "etype", "value"), "key_")
-    spans = found.groupBy(key).agg(F.array_sort(F.collect_set(F.struct((-F.col("size")).alias("s"), "at", "size"))).alias("spans"))
+    bytes_ = F.sum(NAME_BYTES + F.octet_length("key") + F.octet_length("etype") + F.octet_length("value"))
+    held = words.where("key is not null").agg(F.collect_set(F.size(F.split("key", " "))).alias("sizes"), bytes_.alias("bytes")).first()
+    how = "broadcast" if (held["bytes"] or 0) <= BROADCAST_BYTES else "merge"
+    sizes = [n for n in sorted(held["sizes"]) if longest is None or n <= longest] or [1]
+    runs = texts.select(key, F.xxhash64(text).alias("_text"), tokens(F.col(text)).alias("t")).select(key, "_text", F.explode(F.flatten(F.transform(F.array(*map(F.lit, sizes)), lambda n: F.when(F.size("t") >= n, F.transform(F.sequence(F.lit(1), F.size("t") - n + 1), lambda i: F.struct(i.alias("at"), n.alias("size"), F.array_join(F.slice("t", i, n), " ").alias("k")))).otherwise(F.array().cast("array<struct<at:int,size:int,k:string>>"))))).alias("r"))
+    found = runs.select(key, "_text", "r.at", "r.size", F.col("r.k").alias("key_")).join(words.select(F.col("key").alias("key_")).hint(how), "key_", "left_semi")
+    # a text that a key has several times has each of its spans as often
+    spans = found.groupBy(key, "_text").agg(F.array_sort(F.collect_set(F.struct((-F.col("size")).alias("s"), "at", "size", "key_"))).alias("spans"), F.count("*").alias("n"))
     free = lambda acc, x: ~F.exists(acc, lambda y: (y["at"] < x["at"] + x["size"]) & (x["at"] < y["at"] + y["size"]))
-    kept = F.aggregate("spans", F.array().cast("array<struct<s:int,at:int,size:int>>"), lambda acc, x: F.when(free(acc, x), F.array_append(acc, x)).otherwise(acc))
-    return spans.select(key, F.explode(kept).alias("x")).select(key, "x.at", "x.size").join(found, [key, "at", "size"]).select(key, "at", "size", "etype", "value")
+    kept = F.aggregate("spans", F.array().cast("array<struct<s:int,at:int,size:int,key_:string>>"), lambda acc, x: F.when(free(acc, x), F.array_append(acc, x)).otherwise(acc))
+    each = F.flatten(F.array_repeat(kept, (F.col("n") / F.size("spans")).cast("int")))
+    return spans.select(key, F.explode(each).alias("x")).select(key, "x.at", "x.size", "x.key_").join(words.select(F.col("key").alias("key_"), "etype", "value").hint(how), "key_").select(key, "at", "size", "etype", "value")
 
 
 def membership(a: DataFrame, a_group: str, a_member: str, b: DataFrame, b_group: str, b_member: str) -> DataFrame:

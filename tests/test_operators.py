@@ -168,6 +168,22 @@ def test_mentions_of_all_customers(spark):
     assert sorted(map(tuple, got)) == sorted(map(tuple, want))
 
 
+def test_mentions_are_not_sent_through_the_driver(spark):
+    names = spark.range(80_000).select("id", F.format_string("Customer#%09d", "id").alias("n"))
+    asked = names.select("id", F.concat(F.lit("please compare "), F.upper("n"), F.lit(" with all others")).alias("q"))
+    got = entities.mentions(asked, "id", "q", entities.dictionary({"client": names.select("n")}))
+    assert got.where("value = format_string('Customer#%09d', id) and at = 3 and size = 2").count() == 80_000 == got.count()
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" in plan and "Broadcast" not in plan
+
+
+def test_mentions_of_null_and_repeated_keys(spark):
+    words = entities.dictionary({"rm": spark.createDataFrame([("Ann Lee",), ("Ann Lee Moss",), ("ann-lee",)], "n string")})
+    texts = spark.createDataFrame([(None, "Ann Lee Moss"), (1, "Ann Lee"), (1, "Ann Lee"), (1, "Ann Lee Moss")], "id int, q string")
+    got = [(r["id"], r["value"]) for r in entities.mentions(texts, "id", "q", words).collect()]
+    assert sorted(got, key=str) == sorted([(None, "Ann Lee Moss"), *[(1, "Ann Lee"), (1, "ann-lee")] * 2, (1, "Ann Lee Moss")], key=str)
+
+
 def test_content_fingerprint(spark):
     def fingerprint(rows):
         return quality.content_fingerprint(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "doc_id", "text").first()[0]
