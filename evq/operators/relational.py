@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from evq.operators.search_index import shared_folder
+
+#: Rows that a task numbers, about, where the session doesn't ask for more tasks.
+ROWS_A_TASK = 1_000_000
+
 
 def latest(df: DataFrame, key: str, order: str) -> DataFrame:
     """The latest rows of each key; rows tied for the latest all stay. A key is compared with its own rows only."""
@@ -56,21 +62,27 @@ def capped(df: DataFrame, cap: int = 50) -> tuple[list, bool]:
     return rows[:cap], len(rows) > cap
 
 
-def numbered(df: DataFrame, key: str, order: Sequence[str], name: str, per_bucket: int = 100_000) -> DataFrame:
-    """df with name: 0, 1, 2, ... by order, whose first column is key, a number.
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written to the session's checkpoint folder and read back: its rows keep their partitions and order."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()
+
+
+def numbered(df: DataFrame, order: Sequence[str], name: str, per_bucket: int = 100_000) -> DataFrame:
+    """df with name: 0, 1, 2, ... by order, nulls last.
 
-    Rows are dealt into buckets at quantiles of the key, and counted; a window numbers the rows of a bucket and the
-    buckets before it are added. So no task sees more than a bucket, unless one key is larger than that.
+    Rows are dealt into ranges of order, sorted there and checkpointed, so that a row's place stays: its number is that
+    place and the counted rows of the ranges before. Work grows with the rows alone, however many ranges there are.
+    A range has per_bucket rows or more, up to ROWS_A_TASK if the session has few shuffle partitions.
     """
-    n = df.count()
-    cuts = min(10_000, n // per_bucket)
-    points = sorted(set(df.agg(F.percentile_approx(key, [i / (cuts + 1) for i in range(1, cuts + 1)], 10 * cuts + 100)).first()[0] or [])) if cuts else []
-    bucket = F.size(F.filter(F.array(*map(F.lit, points)), lambda p: p < F.col(key))) if points else F.lit(0)
-    rows = df.withColumn("_bucket", bucket)
-    sizes = {r["_bucket"]: r["count"] for r in rows.groupBy("_bucket").count().collect()}
-    before, at = {}, 0
-    for b in sorted(sizes):
-        before[b], at = at, at + sizes[b]
-    offset = F.create_map(*(F.lit(x) for item in before.items() for x in item))[F.col("_bucket")] if before else F.lit(0)
-    place = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order))
-    return rows.withColumn(name, (place - 1 + offset).cast("long")).drop("_bucket")
+    by = [F.asc_nulls_last(c) for c in order]
+    rows = checkpointed(df)
+    n = rows.count()
+    ranges = min(n // per_bucket + 1, max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // ROWS_A_TASK + 1))
+    placed = checkpointed(rows.repartitionByRange(ranges, *by).sortWithinPartitions(*by))
+    sizes = {r["at"]: r["count"] for r in placed.groupBy(F.spark_partition_id().alias("at")).count().collect()}
+    before = [0, *accumulate(sizes.get(i, 0) for i in range(max(sizes, default=0)))]
+    offset = F.element_at(F.array(*(F.lit(x).cast("long") for x in before)), F.spark_partition_id() + 1)
+    return placed.withColumn(name, offset + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))

@@ -21,8 +21,8 @@ def sentence_rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def first_seen(rows: DataFrame, doc_id: str) -> DataFrame:
-    """The distinct sentences with where each comes first; the order of (doc, pos) orders their ids."""
-    return rows.groupBy("sentence").agg(F.min(F.struct(doc_id, "pos")).alias("first"), F.count("*").alias("n_rows")).select("sentence", f"first.{doc_id}", "first.pos", "n_rows")
+    """The distinct sentences with where each comes first; the order of (doc, pos), null docs last, orders their ids."""
+    return rows.groupBy("sentence").agg(F.min(F.struct(F.col(doc_id).isNull().alias("none"), doc_id, "pos")).alias("first"), F.count("*").alias("n_rows")).select("sentence", f"first.{doc_id}", "first.pos", "n_rows")
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -673,7 +673,7 @@ def dq_catalog(spark, d):
 @query(f"WITH r AS (SELECT doc_id, unnest(range(0, len(s))) AS pos, unnest(s) AS sentence FROM (SELECT doc_id, {SENT} AS s FROM documents)), f AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY sentence ORDER BY doc_id, pos) = 1) SELECT row_number() OVER (ORDER BY doc_id, pos) - 1 AS sentence_id, doc_id, CAST(pos AS INT) AS pos FROM f")
 def sentence_ids(spark, d):
     seen = V.first_seen(V.sentence_rows(table(spark, d, "documents"), "doc_id", "text"), "doc_id").select("doc_id", "pos")
-    return R.numbered(seen, "doc_id", ["doc_id", "pos"], "sentence_id", 2000)
+    return R.numbered(seen, ["doc_id", "pos"], "sentence_id", 2000)
 
 
 @query(f"SELECT d.doc_id, d.lang, d.n_chars FROM documents d JOIN ({BEST}) b ON b.doc_id = d.doc_id")

@@ -6,8 +6,9 @@ import sys
 import pytest
 from pyspark.sql import functions as F
 
+import oracle
 from evq import queries
-from evq.operators import entities, lexical, quality, vectors
+from evq.operators import entities, lexical, quality, relational, vectors
 from evq.plans import dialect, evaluate, grounding, resolution, routing
 from evq.plans.guard import Guard, masked, scan
 from evq.plans.retrieval import Evidence
@@ -184,6 +185,27 @@ def test_mentions_of_null_and_repeated_keys(spark):
     assert sorted(got, key=str) == sorted([(None, "Ann Lee Moss"), *[(1, "Ann Lee"), (1, "ann-lee")] * 2, (1, "Ann Lee Moss")], key=str)
 
 
+def test_sentence_ids_in_ranges_of_rows(spark, tmp_path):
+    """A document with more sentences than a range, one without an id, one without sentences; no window over a range."""
+    docs = [(3, " ".join(f"Sentence {i}." for i in range(5000))), (-2, "Sentence 7. New."), (1 << 40, "Last. Sentence 7."), (None, "New. Without an id. Last."), (5, " "), (6, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    con = oracle.duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("sentence_ids", "sentence_first_seen_ids"):
+        assert oracle.compare(queries.QUERIES[name](spark, str(tmp_path)), con, queries.ORACLES[name]) == ""
+    got = queries.QUERIES["sentence_ids"](spark, str(tmp_path))
+    assert sorted(r["sentence_id"] for r in got.collect()) == list(range(5003))
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize(("n", "per_bucket"), [(0, 10), (1, 10), (1000, 1), (1000, 100_000)])
+def test_numbered(spark, n, per_bucket):
+    rows = spark.range(n).select((-(F.col("id") * 7919 % 1009)).alias("a"), F.expr("if(id % 5 = 0, null, id)").alias("b"))
+    got = [(r["a"], r["b"], r["i"]) for r in relational.numbered(rows.repartition(5), ["b", "a"], "i", per_bucket).collect()]
+    want = sorted(((-(i * 7919 % 1009), None if i % 5 == 0 else i) for i in range(n)), key=lambda x: (x[1] is None, x[1] or 0, x[0]))
+    assert sorted(got, key=lambda x: x[2]) == [(*x, i) for i, x in enumerate(want)]
+
+
 def test_content_fingerprint(spark):
     def fingerprint(rows):
         return quality.content_fingerprint(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "doc_id", "text").first()[0]
